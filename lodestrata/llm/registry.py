@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, line_dedup, mixing, packing, pii, secrets
+from . import exact_dedup, jaccard_join, language_id, line_dedup, mixing, nearest, packing, pii, secrets, substring_dedup
 
-MODULES = (secrets, packing, mixing, exact_dedup, pii, line_dedup, language_id)
+MODULES = (secrets, substring_dedup, nearest, packing, mixing, exact_dedup, pii, line_dedup, jaccard_join, language_id)
 
 
 def queries() -> dict:
