@@ -89,7 +89,12 @@ def fit(training: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -
     df, n = document_frequencies(rows.select("text"))
     idf = np.log((1 + n) / (1 + df)).astype(np.float32) + 1
     by = Window.partitionBy("lang").orderBy("_o", "doc_id")
-    chosen = rows.select("lang", "text", "doc_id", F.xxhash64(F.col("doc_id").cast("string")).alias("_o"))
+    chosen = rows.select("lang", "text", "doc_id", (F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) / (1 << 30)).alias("_o"))
+    # the smallest hashes of a language lie below a few times its share; so little more than the sample is sorted
+    share = F.lit(1.0)
+    for r in rows.groupBy("lang").count().collect():  # a row a language
+        share = F.when(F.col("lang") == r["lang"], min(1.0, (3 * sample + 50) / r["count"])).otherwise(share)
+    chosen = chosen.where(F.col("_o") <= share)
     chosen = chosen.withColumn("_r", F.row_number().over(by)).where(F.col("_r") <= sample).select("lang", "text")
 
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
