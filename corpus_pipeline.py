@@ -15,12 +15,14 @@ ORACLE_SQL = None
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: documents that it rejects go; ``lang`` becomes the predicted language."""
+    common.prepare(spark)
     found = language_id.identify(docs.select(*COLUMNS)).where(~F.col("rejected"))
     return found.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Line dedup: repeated chunks go from the texts; a document that loses all its lines goes."""
+    common.prepare(spark)
     left = line_dedup.line_dedup(docs.select(*COLUMNS))
     left = left.where((F.col("n_removed") == 0) | F.col("text").rlike(common.WORD))
     changed = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
@@ -29,6 +31,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join: of each group of near duplicates the document with the smallest id stays."""
+    common.prepare(spark)
     return jaccard_join.near_dedup(docs.select(*COLUMNS))
 
 
@@ -39,6 +42,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Best-fit packing: a row for every piece, with its sequence and offset."""
+    common.prepare(spark)
     return packing.pack_documents(docs)
 
 

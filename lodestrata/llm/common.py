@@ -15,12 +15,23 @@ WORD = r"[^\x20\x09-\x0D]+"
 HOT_SHARE = 1 / 2000
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read one input table and make this package importable in Python workers."""
+#: Rows that go to a Python worker at a time. Rows are whole texts here, and Spark's 10,000 of them fill its memory.
+ARROW_ROWS = "1000"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, and batches small, if the session hasn't set them itself."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Read one input table."""
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

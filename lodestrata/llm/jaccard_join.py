@@ -37,7 +37,7 @@ _PART = 1 << 16
 BLOCKS_PER_PARTITION = 8
 #: Columns with at most so many classes give all their pairs at once.
 FEW = 6
-_REMEMBERED = 500_000
+_REMEMBERED = 200_000
 _U = np.uint64
 
 ORACLE = r"""
@@ -117,7 +117,7 @@ def read(docs: DataFrame, k: int) -> DataFrame:
         doc_type = None
         for batch in batches:
             doc_type = batch.schema.field(1).type
-            for lo in range(0, batch.num_rows, 1000):
+            for lo in range(0, batch.num_rows, 300):
                 piece = batch.slice(lo, 1000)
                 sets = [shingles(t, k) for t in piece.column(0).to_pylist()]
                 if sets:
@@ -191,7 +191,7 @@ def postings(docs: DataFrame, scale, blocks: int, k: int, num: int, den: int) ->
             r["h"], r["c"], r["n"], r["at"] = h[first], _short(cls), n, np.arange(p)
             held.append(r)
             size += p
-            if size > 1_500_000:
+            if size > 400_000:
                 yield from flush()
                 held, size = [], 0
         yield from flush()

@@ -28,8 +28,8 @@ MOST = 2048
 GRID = 32
 #: Pieces that share a hash bucket, at most, about.
 PER_BUCKET = 100_000
-#: Words whose ids a worker remembers, about 250 bytes each.
-REMEMBERED = 1_200_000
+#: Words, and words without their punctuation, whose ids a worker remembers; about 200 bytes each.
+WORDS, CORES = 250_000, 500_000
 STEPS = 400
 
 _PUNCTUATION = ".,!?;:#*&%$|\"()[]{}<>=-"
@@ -85,8 +85,9 @@ class Words:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         split = [t.split() for t in texts]
-        if len(self.words) + len(self.cores) > REMEMBERED:
+        if len(self.words) > WORDS:
             self.words.clear()
+        if len(self.cores) > CORES:
             self.cores.clear()
         if missing := set().union(*split) - self.words.keys():
             self.learn(list(missing))

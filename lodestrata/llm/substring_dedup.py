@@ -31,7 +31,7 @@ MINIMISER = 6
 #: Buckets for every input partition, and bytes of text that a task packs at a time.
 BUCKETS_PER_PARTITION = 8
 BATCH_BYTES = 12 << 20
-_REMEMBERED = 500_000
+_REMEMBERED = 200_000
 _U = np.uint64
 
 
