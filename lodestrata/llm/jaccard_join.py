@@ -118,7 +118,7 @@ def read(docs: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             doc_type = batch.schema.field(1).type
             for lo in range(0, batch.num_rows, 300):
-                piece = batch.slice(lo, 1000)
+                piece = batch.slice(lo, 300)
                 sets = [shingles(t, k) for t in piece.column(0).to_pylist()]
                 if sets:
                     np.add(counts, np.bincount((np.concatenate(sets) & _U(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS), out=counts, casting="unsafe")
