@@ -156,6 +156,21 @@ def frequency_classes(parts: DataFrame) -> np.ndarray:
 _RECORD = np.dtype([("h", "<u8"), ("c", "<i8"), ("n", "<u4"), ("at", "<u4")])
 
 
+def _pack(r: np.ndarray) -> bytes:
+    """Records by columns: hashes as they are, small numbers compressed."""
+    return len(r).to_bytes(4, "little") + r["h"].tobytes() + r["c"].tobytes() + zlib.compress(r["n"].tobytes() + r["at"].tobytes(), 1)
+
+
+def _unpack(blob: bytes) -> np.ndarray:
+    n = int.from_bytes(blob[:4], "little")
+    r = np.empty(n, dtype=_RECORD)
+    r["h"] = np.frombuffer(blob, dtype="<u8", count=n, offset=4)
+    r["c"] = np.frombuffer(blob, dtype="<i8", count=n, offset=4 + 8 * n)
+    small = np.frombuffer(zlib.decompress(blob[4 + 16 * n :]), dtype="<u4")
+    r["n"], r["at"] = small[:n], small[n:]
+    return r
+
+
 def postings(docs: DataFrame, scale, blocks: int, k: int, num: int, den: int) -> DataFrame:
     """``block, records``: the first shingles of every class, by block of the shingle's hash. Classes once a task."""
 
@@ -173,7 +188,7 @@ def postings(docs: DataFrame, scale, blocks: int, k: int, num: int, den: int) ->
                 r, b = r[by], b[by]
                 cut = np.flatnonzero(np.diff(b)) + 1
                 starts = np.concatenate([[0], cut])
-                blobs = [x.tobytes() for x in np.split(r, cut)]
+                blobs = [_pack(x) for x in np.split(r, cut)]
                 yield pa.RecordBatch.from_arrays([pa.array(b[starts].astype(np.int32)), pa.array(blobs, pa.binary())], names=["block", "records"])
 
         for _, _, h in _texts(batches, k):
@@ -209,7 +224,7 @@ def multiply(blocks: DataFrame, num: int, den: int, few: int) -> DataFrame:
     """``h, a, na, b, nb, at``: pairs to compare (``b`` set), and postings of columns that come back (``b`` null)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = np.unique(np.concatenate([np.frombuffer(x, dtype=_RECORD) for x in pdf["records"]]))
+        r = np.unique(np.concatenate([_unpack(x) for x in pdf["records"]]))
         h = r["h"]
         head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(r) else np.zeros(0, dtype=np.int64)
         size = np.diff(np.append(head, len(r)))
@@ -278,7 +293,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["c", "cls", "h"])
 
     found = docs.select("text").mapInArrow(run, "c long, cls binary, h binary")
-    return found.join(wanted, "c", "left_semi").dropDuplicates(["cls"])
+    # dealt by c already, so this moves nothing
+    return found.join(wanted, "c", "left_semi").dropDuplicates(["c", "cls"])
 
 
 def links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:

@@ -29,7 +29,7 @@ GRID = 32
 #: Pieces that share a hash bucket, at most, about.
 PER_BUCKET = 100_000
 #: Words, and words without their punctuation, whose ids a worker remembers; about 200 bytes each.
-WORDS, CORES = 600_000, 600_000
+WORDS, CORES = 900_000, 800_000
 STEPS = 400
 
 _PUNCTUATION = ".,!?;:#*&%$|\"()[]{}<>=-"
