@@ -120,7 +120,7 @@ def block_paths(history: DataFrame, starts: DataFrame, block: int, horizon: int)
 
 def hashed_starts(spark, n_paths: int, n_blocks: int, n: int, seed: int = 0) -> DataFrame:
     """Block starts from a hash of (seed, path, block): the same in every run and on every cluster."""
-    p = spark.range(n_paths).withColumnRenamed("id", "path").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).cast("long"))
+    p = spark.range(n_paths).withColumnRenamed("id", "path").withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
     h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("path").cast("string"), F.col("b").cast("string"))), 1, 8), 16, 10).cast("long")
     return p.withColumn("start", F.pmod(h, F.lit(n)))
 

@@ -1,0 +1,10 @@
+"""A session with the settings that the operators expect."""
+
+from pyspark.sql import SparkSession
+
+
+def session(name: str = "lodestrata", **conf) -> SparkSession:
+    b = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
+    for k, v in conf.items():
+        b = b.config(k, v)
+    return b.getOrCreate()
