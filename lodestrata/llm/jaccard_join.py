@@ -36,7 +36,7 @@ COUNTERS = 1 << 22
 _PART = 1 << 16
 BLOCKS_PER_PARTITION = 8
 #: Columns with at most so many classes give all their pairs at once.
-FEW = 6
+FEW = 3
 _REMEMBERED = 200_000
 _U = np.uint64
 
@@ -264,9 +264,10 @@ def multiply(blocks: DataFrame, num: int, den: int, few: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """``c, cls, h``: whole shingle sets of the classes in ``wanted`` (column ``c``).
+    """``c, cls, h``: whole shingle sets of the classes in ``wanted`` (column ``c``), and of few others.
 
-    The texts are read again; a bit table of fixed size keeps most other classes from travelling, the join all of them.
+    The texts are read again; a bit table of fixed size keeps most other classes out, and the joins with the pairs all of
+    them. A class that several tasks meet has a row from each; ``links`` takes one.
     """
     bits = 1 << 23
     parts = wanted.select(F.pmod("c", F.lit(bits)).alias("i")).select((F.col("i") / 2048).cast("int").alias("w"), (F.col("i") % 2048).cast("int").alias("j"))
@@ -292,13 +293,12 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                         out = [[], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["c", "cls", "h"])
 
-    found = docs.select("text").mapInArrow(run, "c long, cls binary, h binary")
-    # dealt by c already, so this moves nothing
-    return found.join(wanted, "c", "left_semi").dropDuplicates(["c", "cls"])
+    return docs.select("text").mapInArrow(run, "c long, cls binary, h binary")
 
 
 def links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """``x, y``: classes of the pairs whose whole sets are similar enough. Overlaps are counted exactly."""
+    sets = sets.dropDuplicates(["c", "cls"])  # in the shuffle by c that the joins need anyway
     right = pairs.join(sets.select(F.col("c").alias("b"), F.col("cls").alias("y"), F.col("h").alias("hy")), "b")
     both = right.join(sets.select(F.col("c").alias("a"), F.col("cls").alias("x"), F.col("h").alias("hx")), "a").select("x", "hx", "y", "hy")
 
@@ -355,7 +355,7 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, num: int = NUMERATOR, de
     edges = durable(links(pairs, sets, num, den))
     labels = components(edges)
     # columns with many postings: pairs across the components found so far, if size and place allow
-    ids = sets.select("c", "cls").join(labels.select(F.col("v").alias("cls"), "label"), "cls", "left").select("c", F.coalesce("label", "cls").alias("label"))
+    ids = sets.select("c", "cls").distinct().join(labels.select(F.col("v").alias("cls"), "label"), "cls", "left").select("c", F.coalesce("label", "cls").alias("label"))
     marked = back.join(ids, "c")
     several = marked.groupBy("h").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l != m").select("h")
     open_ = durable(marked.join(several, "h", "left_semi"))

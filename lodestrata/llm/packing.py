@@ -52,47 +52,43 @@ class Words:
         plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
         others = (b for b in range(256) if b not in plain)
         self.byte_letters = {b: 0x100 + k for k, b in enumerate(others)}
-        self.words: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
-
-    def learn(self, missing: list[str]) -> None:
-        cut = []
-        for w in missing:
-            low = w.lower() if w.isascii() else w
-            core = low.rstrip(_PUNCTUATION)
-            cut.append((w, core, low[len(core) :]) if core and core[-1].isalnum() else (w, low, ""))
-        cores = self.cores
-        new = []
-        for c in {c for _, a, b in cut for c in (a, b) if c and c not in cores}:
-            if c.isalpha() and (c.isascii() or (c == c.lower() and unicodedata.is_normalized("NFC", c))):
-                # one run of letters that normalising leaves as it is: straight to the merges
-                seen = c if c.isascii() else c.encode().decode("latin-1").translate(self.byte_letters)
-                cores[c] = b"".join(t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(seen))
-            else:
-                new.append(c)
-        for k in range(0, len(new), 256):
-            part = new[k : k + 256]
-            got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ends = np.cumsum([len(w) + 1 for w in part])
-            at = [0, *np.searchsorted(np.array([o[0] for o in got.offsets], dtype=np.int64), ends)]
-            ids = np.array(got.ids, dtype="<u4").tobytes()
-            for j, w in enumerate(part):
-                cores[w] = ids[4 * at[j] : 4 * at[j + 1]]
-        cores[""] = b""
-        for w, a, b in cut:
-            self.words[w] = cores[a] + cores[b]
+        self.words = _Remembered(self.word)
+        self.cores = _Remembered(self.core)
+
+    def core(self, c: str) -> bytes:
+        if c.isalpha() and (c.isascii() or (c == c.lower() and unicodedata.is_normalized("NFC", c))):
+            # one run of letters that normalising leaves as it is: straight to the merges
+            seen = c if c.isascii() else c.encode().decode("latin-1").translate(self.byte_letters)
+            return b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(seen)])
+        return np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def word(self, w: str) -> bytes:
+        low = w.lower() if w.isascii() else w
+        core = low.rstrip(_PUNCTUATION)
+        if core and core[-1].isalnum():
+            return self.cores[core] + self.cores[low[len(core) :]] if len(core) < len(low) else self.cores[core]
+        return self.cores[low]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        split = [t.split() for t in texts]
         if len(self.words) > WORDS:
             self.words.clear()
         if len(self.cores) > CORES:
             self.cores.clear()
-        if missing := set().union(*split) - self.words.keys():
-            self.learn(list(missing))
         get = self.words.__getitem__
-        return [b"".join(map(get, ws)) for ws in split]
+        return [b"".join(map(get, t.split())) for t in texts]
+
+
+class _Remembered(dict):
+    """What a function has returned, by its argument."""
+
+    def __init__(self, f):
+        super().__init__()
+        self.f = f
+
+    def __missing__(self, key):
+        v = self[key] = self.f(key)
+        return v
 
 
 def _words(path: str) -> Words:
