@@ -36,7 +36,7 @@ COUNTERS = 1 << 22
 _PART = 1 << 16
 BLOCKS_PER_PARTITION = 8
 #: Columns with at most so many classes give all their pairs at once.
-FEW = 3
+FEW = 6
 _REMEMBERED = 200_000
 _U = np.uint64
 
