@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions import windows as W
 from ..operators import evaluation as E
+from ..operators import inference as I
 from ..operators import portfolio as P
 from ..operators import quality as Q
 from ..operators import risk as R
 from ..operators import universe as U
+from ..operators import weights as T
 from ..operators.grid import asof_join, densify, islands, range_join
 from . import views as V
 
@@ -573,3 +575,30 @@ def scalar_formulas(spark, d):
     mu, s = (F.col("c_custkey") % 17 - 5) / 100.0, (F.col("c_custkey") % 11 + 1) / 10.0
     out = V.read(spark, d, "customer").select("c_custkey", S.kelly_fraction(mu, s).alias("kelly"), S.kelly_growth_rate(s).alias("growth"), S.kelly_with_uncertainty(mu, s, 0.01).alias("shrunk"), S.loss_bound(2, s).alias("loss_bound"), S.square_root_impact(s, 0.1).alias("sqrt_impact"), S.power_impact(s, 0.1).alias("power_impact"))
     return rnd(out, "kelly", "growth", "shrunk", "loss_bound", "sqrt_impact", "power_impact", digits=8)
+
+
+# --- multiple testing, checks of weights ------------------------------------------------------------------------------
+SIGNS = """s AS (SELECT asset, date, ret FROM panel WHERE ret IS NOT NULL), sizes AS (SELECT count(DISTINCT asset) AS n, count(DISTINCT date) AS t FROM s),
+e AS (SELECT date, draw, CASE WHEN md5('0:' || draw || ':' || date)[1] < '8' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS sign FROM (SELECT DISTINCT date FROM s) CROSS JOIN (SELECT unnest(range(100)) AS draw)),
+b AS (SELECT draw, max(v) AS v FROM (SELECT draw, asset, sum(sign * ret) AS v FROM s JOIN e USING (date) GROUP BY ALL) GROUP BY 1), c AS (SELECT (SELECT avg(v) FROM b) / t AS complexity, n, t FROM sizes)"""
+
+
+@query("mt_rademacher", _with(V.PANEL + ", " + SIGNS, "SELECT round(complexity, 6) AS complexity, n, t FROM c"))
+def mt_rademacher(spark, d):
+    return rnd(I.rademacher(V.panel(spark, d), "ret", draws=100), "complexity")
+
+
+@query("mt_haircut_sharpe", _with(V.PANEL + ", " + SIGNS, "SELECT asset, round(avg(ret) / stddev_samp(ret), 6) AS sr, round(avg(ret) / stddev_samp(ret) - 2 * any_value(complexity) - 3 * sqrt(2 * ln(40) / any_value(t)) - sqrt(2 * ln(40 * any_value(n)) / any_value(t)), 6) AS haircut FROM s, c GROUP BY 1"))
+def mt_haircut_sharpe(spark, d):
+    p = V.panel(spark, d)
+    sharpes = p.groupBy("asset").agg(F.try_divide(F.avg("ret"), F.stddev_samp("ret")).alias("sr"))
+    return rnd(I.haircut_sharpe(sharpes, I.rademacher(p, "ret", draws=100)).select("asset", "sr", "haircut"), "sr", "haircut")
+
+
+@query("weights_validate", _with(V.PANEL + """, w AS (SELECT date, asset, weight * 2 AS w, in_universe AS u, dv IS NOT NULL AS l FROM panel WHERE weight IS NOT NULL), o AS (SELECT (date + 7)::DATE AS date, asset, w FROM w),
+f AS (SELECT coalesce(w.date, o.date) AS date, w.asset IS NOT NULL AS new, o.asset IS NOT NULL AS old, coalesce(w.w, 0) AS w, coalesce(o.w, 0) AS o, coalesce(u, false) AS u, coalesce(l, false) AS l FROM w FULL JOIN o ON w.date = o.date AND w.asset = o.asset),
+judged AS (SELECT date, count_if(new)::BIGINT AS n, sum(abs(w)) AS gross, sum(w) AS net, CASE WHEN count_if(old) > 0 THEN sum(abs(w - o)) END AS change, max(abs(w)) > 0.25 AS cap, count_if(new AND NOT u) > 0 AS u, count_if(new AND NOT l) > 0 AS l FROM f GROUP BY 1)""", """SELECT date, n, round(gross, 6) AS gross, round(net, 6) AS net, round(change, 6) AS change, concat_ws(',', CASE WHEN cap THEN 'cap' END, CASE WHEN u THEN 'universe' END, CASE WHEN l THEN 'listed' END, CASE WHEN gross > 1.5 THEN 'gross' END, CASE WHEN abs(net) > 0.5 THEN 'net' END, CASE WHEN n > 100 THEN 'names' END, CASE WHEN coalesce(change > 0.5, false) THEN 'change' END) AS violations FROM judged WHERE n > 0"""))
+def weights_validate(spark, d):
+    w = V.panel(spark, d).where("weight is not null").select("date", "asset", (F.col("weight") * 2).alias("weight"), "in_universe", F.col("dv").isNotNull().alias("listed"))
+    old = w.select(F.date_add("date", 7).alias("date"), "asset", "weight")
+    return rnd(T.validate_weights(w, old, "date"), "gross", "net", "change")

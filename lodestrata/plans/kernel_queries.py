@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import windows as W
+from ..operators import futures as U
+from ..operators import inference as I
 from ..operators import kernels as K
 from . import views as V
 
@@ -75,3 +77,42 @@ def risk_model_fit(spark, d):
 @query
 def backtest_daily(spark, d):
     return K.backtest(_panel(spark, d).withColumn("weight", F.col("weight") * 0.5), "strategy")
+
+
+def futures_bars(spark, d):
+    """Manufacturers as roots; an item's contract ends in the month of its shipping, or up to six months later."""
+    items = V.read(spark, d, "lineitem").join(V.read(spark, d, "part").select("p_partkey", F.col("p_mfgr").alias("root")), F.col("l_partkey") == F.col("p_partkey"))
+    expiry = U.third_last_business_day(F.add_months(F.col("l_shipdate").cast("date"), F.col("l_linenumber").cast("int") - 1))
+    rows = items.withColumn("date", F.col("l_shipdate").cast("date")).withColumn("expiry", expiry).withColumn("contract", F.date_format("expiry", "yyyy-MM"))
+    return rows.groupBy("root", "contract", "expiry", "date").agg((F.sum("l_extendedprice") / F.sum("l_quantity")).alias("close"), F.sum("l_quantity").alias("volume"))
+
+
+@query
+def futures_front_second(spark, d):
+    return U.front_second(U.daily_panel(futures_bars(spark, d)))
+
+
+@query
+def futures_curve(spark, d):
+    p = U.daily_panel(futures_bars(spark, d))
+    return U.curve(p, U.front_second(p))
+
+
+@query
+def attr_time_series(spark, d):
+    p = V.panel(spark, d)
+    f = p.groupBy("date").agg(F.avg("ret").alias("market"), F.avg(F.col("ret") * F.signum("mom")).alias("momentum"))
+    return I.time_series_attribution(p.select("date", "asset", "ret").join(f, "date"), "ret", ["market", "momentum"], "asset")
+
+
+@query
+def tail_entropy_pool(spark, d):
+    s = V.scenarios(spark, d).groupBy("date").agg(F.sum("pnl").alias("pnl"))
+    m = s.agg(F.avg("pnl").alias("m"), F.stddev_pop("pnl").alias("s")).first()
+    return I.entropy_pool(s, {"pnl": (m["m"] or 0.0) - 0.25 * (m["s"] or 0.0)})
+
+
+@query
+def book_regime_multipliers(spark, d):
+    m = V.panel(spark, d).groupBy("date").agg(F.avg("ret").alias("ret")).withColumn("strategy", F.lit("market"))
+    return I.regime_multipliers(m, "ret", "strategy", least=100)
