@@ -80,8 +80,8 @@ def backtest_daily(spark, d):
 
 
 def futures_bars(spark, d):
-    """Manufacturers as roots; an item's contract ends in the month of its shipping, or up to six months later."""
-    items = V.read(spark, d, "lineitem").join(V.read(spark, d, "part").select("p_partkey", F.col("p_mfgr").alias("root")), F.col("l_partkey") == F.col("p_partkey"))
+    """Return flags as roots; an item's contract ends in the month of its shipping, or up to six months later."""
+    items = V.read(spark, d, "lineitem").withColumn("root", F.col("l_returnflag"))
     expiry = U.third_last_business_day(F.add_months(F.col("l_shipdate").cast("date"), F.col("l_linenumber").cast("int") - 1))
     rows = items.withColumn("date", F.col("l_shipdate").cast("date")).withColumn("expiry", expiry).withColumn("contract", F.date_format("expiry", "yyyy-MM"))
     return rows.groupBy("root", "contract", "expiry", "date").agg((F.sum("l_extendedprice") / F.sum("l_quantity")).alias("close"), F.sum("l_quantity").alias("volume"))
