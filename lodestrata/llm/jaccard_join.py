@@ -37,7 +37,6 @@ _PART = 1 << 16
 BLOCKS_PER_PARTITION = 8
 #: Columns with at most so many classes give all their pairs at once.
 FEW = 6
-_REMEMBERED = 200_000
 _U = np.uint64
 
 ORACLE = r"""
@@ -64,33 +63,95 @@ FROM w LEFT JOIN n USING (doc_id)
 """
 
 
-class _Hashes(dict):
-    """64-bit hashes of words, remembered."""
+_LETTERS = np.array([xxhash.xxh3_64_intdigest(bytes([i]).lower()) for i in range(256)], dtype=np.uint64)
+_IN_WORD = np.array([i not in b" \t\n\v\f\r" for i in range(256)])
+#: Bytes that are hashed at a time; longer words are hashed alone.
+_PIECE = 1 << 17
+#: Bytes of whole texts that are taken at a time.
+_CHUNK = 1 << 21
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > _REMEMBERED:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
 
+def _powers(base: int) -> np.ndarray:
+    out = np.full(_PIECE + 1, base, dtype=np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
 
-_hashes = _Hashes()
+
+_BASE = 0x9E3779B97F4A7C15
+_UP, _DOWN = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> _U(32))) * _U(0xD6E8FEB86659FD93)
+    return h ^ (h >> _U(32))
+
+
+def _words(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First bytes of all words, A-Z lower-cased, and their 64-bit hashes. Words end at the places of ``cuts``, too.
+
+    A word's hash is a polynomial over its letters' values, taken as a difference of prefix sums over a piece of bytes.
+    """
+    inside = _IN_WORD[data]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    at = cuts[cuts < len(data)]
+    first[at] = inside[at]
+    before = cuts[cuts > 0] - 1
+    last[before] = inside[before]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    out = np.empty(len(starts), dtype=np.uint64)
+    i = 0
+    while i < len(starts):
+        lo = starts[i]
+        j = int(np.searchsorted(ends, lo + _PIECE, side="right"))
+        if j <= i:
+            out[i] = xxhash.xxh3_64_intdigest(data[lo : ends[i]].tobytes().lower())
+            i += 1
+            continue
+        piece = data[lo : ends[j - 1]]
+        sums = np.zeros(len(piece) + 1, dtype=np.uint64)
+        np.cumsum(_LETTERS[piece] * _UP[: len(piece)], out=sums[1:])
+        s = starts[i:j] - lo
+        out[i:j] = (sums[ends[i:j] - lo] - sums[s]) * _DOWN[s]
+        i = j
+    return starts, _mix(out)
+
+
+def _windows(v: np.ndarray, size: int) -> np.ndarray:
+    m = max(0, len(v) - size + 1)
+    h = np.full(m, size, dtype=np.uint64)
+    for i in range(size):
+        h *= _U(_BASE)
+        h += v[i : m + i]
+    return _mix(h)
+
+
+def shingle_sets(texts: pa.Array, k: int = WORDS) -> Iterator[np.ndarray]:
+    """For each whole text the sorted distinct hashes of its shingles; of all its words, if it has fewer than ``k``."""
+    texts = texts.fill_null("")
+    if not len(texts):
+        return
+    offset = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    at = np.frombuffer(texts.buffers()[1], dtype=offset)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    whole = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + _CHUNK, side="right")) - 1)
+        cuts = at[lo : hi + 1] - at[lo]
+        starts, v = _words(whole[at[lo] : at[hi]], cuts)
+        word = np.searchsorted(starts, cuts)
+        h = _windows(v, k)
+        for a, b in zip(word[:-1].tolist(), word[1:].tolist(), strict=True):
+            own = h[a : b - k + 1] if b - a >= k else _windows(v[a:b], b - a) if b > a else h[:0]
+            own = np.sort(own)
+            yield own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) else own
+        lo = hi
 
 
 def shingles(text: str | None, k: int = WORDS) -> np.ndarray:
-    """Sorted distinct hashes of the shingles of a whole text; of all its words, if it has fewer than ``k``."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    v = np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
-    size = min(k, len(v))
-    with np.errstate(over="ignore"):
-        h = np.full(len(v) - size + 1, size, dtype=np.uint64)
-        for i in range(size):
-            h = h * _U(0x9E3779B97F4A7C15) + v[i : len(v) - size + 1 + i]
-        h = (h ^ (h >> _U(32))) * _U(0xD6E8FEB86659FD93)
-        h ^= h >> _U(32)
-    return np.unique(h)
+    """``shingle_sets`` of one text."""
+    return next(shingle_sets(pa.array([text], pa.string()), k))
 
 
 def _class(h: np.ndarray) -> bytes:
@@ -103,8 +164,8 @@ def _short(cls: bytes) -> int:
 
 def _texts(batches: Iterator[pa.RecordBatch], k: int, column: int = 0) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray]]:
     for batch in batches:
-        for i, t in enumerate(batch.column(column).to_pylist()):
-            yield batch, i, shingles(t, k)
+        for i, h in enumerate(shingle_sets(batch.column(column), k)):
+            yield batch, i, h
 
 
 def read(docs: DataFrame, k: int) -> DataFrame:
@@ -117,16 +178,14 @@ def read(docs: DataFrame, k: int) -> DataFrame:
         doc_type = None
         for batch in batches:
             doc_type = batch.schema.field(1).type
-            for lo in range(0, batch.num_rows, 300):
-                piece = batch.slice(lo, 300)
-                sets = [shingles(t, k) for t in piece.column(0).to_pylist()]
-                if sets:
-                    np.add(counts, np.bincount((np.concatenate(sets) & _U(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS), out=counts, casting="unsafe")
-                m = len(sets)
-                yield pa.RecordBatch.from_arrays(
-                    [piece.column(1), pa.array([_class(s) if len(s) else None for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
-                    names=names,
-                )
+            sets = list(shingle_sets(batch.column(0), k))
+            if sets:
+                np.add(counts, np.bincount((np.concatenate(sets) & _U(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS), out=counts, casting="unsafe")
+            m = len(sets)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(1), pa.array([_class(s) if len(s) else None for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
+                names=names,
+            )
         if doc_type is not None:
             parts = range(COUNTERS // _PART)
             blobs = [zlib.compress(counts[p * _PART : (p + 1) * _PART].tobytes(), 1) for p in parts]
@@ -300,7 +359,7 @@ def links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """``x, y``: classes of the pairs whose whole sets are similar enough. Overlaps are counted exactly."""
     sets = sets.dropDuplicates(["c", "cls"])  # in the shuffle by c that the joins need anyway
     right = pairs.join(sets.select(F.col("c").alias("b"), F.col("cls").alias("y"), F.col("h").alias("hy")), "b")
-    both = right.join(sets.select(F.col("c").alias("a"), F.col("cls").alias("x"), F.col("h").alias("hx")), "a").select("x", "hx", "y", "hy")
+    joined = right.join(sets.select(F.col("c").alias("a"), F.col("cls").alias("x"), F.col("h").alias("hx")), "a").select("x", "hx", "y", "hy")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -309,13 +368,14 @@ def links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
                 xs, ys = [], []
                 for x, hx, y, hy in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
                     p, q = np.frombuffer(hx, dtype=np.uint64), np.frombuffer(hy, dtype=np.uint64)
-                    o = len(p) + len(q) - len(np.unique(np.concatenate([p, q])))
+                    both = np.sort(np.concatenate([p, q]))
+                    o = np.count_nonzero(both[1:] == both[:-1])
                     if o * den >= num * (len(p) + len(q) - o):
                         xs.append(x)
                         ys.append(y)
                 yield pa.RecordBatch.from_arrays([pa.array(xs, pa.binary()), pa.array(ys, pa.binary())], names=["x", "y"])
 
-    return both.mapInArrow(run, "x binary, y binary")
+    return joined.mapInArrow(run, "x binary, y binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
