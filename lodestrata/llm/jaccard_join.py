@@ -175,17 +175,28 @@ def read(docs: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, dtype=np.uint32)
-        doc_type = None
+        doc_type, held, size = None, [], 0
+
+        def count() -> None:
+            nonlocal size
+            if held:
+                np.add(counts, np.bincount(np.concatenate(held).astype(np.int64), minlength=COUNTERS), out=counts, casting="unsafe")
+            held.clear()
+            size = 0
+
         for batch in batches:
             doc_type = batch.schema.field(1).type
             sets = list(shingle_sets(batch.column(0), k))
-            if sets:
-                np.add(counts, np.bincount((np.concatenate(sets) & _U(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS), out=counts, casting="unsafe")
             m = len(sets)
+            held += [(s & _U(COUNTERS - 1)).astype(np.uint32) for s in sets]
+            size += sum(map(len, sets))
+            if size > COUNTERS:
+                count()
             yield pa.RecordBatch.from_arrays(
                 [batch.column(1), pa.array([_class(s) if len(s) else None for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
                 names=names,
             )
+        count()
         if doc_type is not None:
             parts = range(COUNTERS // _PART)
             blobs = [zlib.compress(counts[p * _PART : (p + 1) * _PART].tobytes(), 1) for p in parts]
