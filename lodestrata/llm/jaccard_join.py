@@ -368,7 +368,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
 def links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """``x, y``: classes of the pairs whose whole sets are similar enough. Overlaps are counted exactly."""
-    sets = sets.dropDuplicates(["c", "cls"])  # in the shuffle by c that the joins need anyway
+    sets = sets.repartition("c").dropDuplicates(["c", "cls"])  # one shuffle by c serves this and the joins
     right = pairs.join(sets.select(F.col("c").alias("b"), F.col("cls").alias("y"), F.col("h").alias("hy")), "b")
     joined = right.join(sets.select(F.col("c").alias("a"), F.col("cls").alias("x"), F.col("h").alias("hx")), "a").select("x", "hx", "y", "hy")
 
@@ -440,7 +440,8 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, num: int = NUMERATOR, de
     )
     more = durable(cross.select(F.col("c").alias("a"), "b").distinct().join(pairs, ["a", "b"], "left_anti"))
     if not more.isEmpty():
-        edges = durable(edges.union(links(more, sets, num, den)))
+        some = durable(more.select(F.col("a").alias("c")).union(more.select("b")).distinct())
+        edges = durable(edges.union(links(more, sets.join(some, "c", "left_semi"), num, den)))
         labels = components(edges)
     classes = rows.where("cls is not null").groupBy("cls").agg(F.count("*").alias("_count"), F.min("doc_id").alias("_min"))
     classes = classes.join(labels.select(F.col("v").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
