@@ -21,9 +21,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Line dedup: repeated chunks go from the texts; a document that loses all its lines goes."""
+    """Line dedup: repeated runs of two lines or more go from the texts; a document that loses all its lines goes."""
     common.prepare(spark)
-    left = line_dedup.line_dedup(docs.select(*COLUMNS))
+    left = line_dedup.run_dedup(docs.select(*COLUMNS))
     left = left.where((F.col("n_removed") == 0) | F.col("text").rlike(common.WORD))
     changed = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return left.withColumn("n_chars", changed).select(*COLUMNS)

@@ -4,6 +4,10 @@ A rolling hash over the hashes of three lines says after which lines a chunk may
 when lines are put in or taken out before it. Every chunk has two lines or more. Chunks that occur in several documents
 stay in the one with the smallest id, those that a document repeats stay at their first place; equality is decided by the
 bytes: chunks are grouped by hash and text, copies combined before the shuffle.
+
+Whole chunks miss most short passages in other surroundings, but the query's SQL fixes them. ``run_dedup``, which the
+pipeline takes, has no such cut: it compares all pairs of neighbouring lines, so every repeated run of two lines or more
+goes, whatever stands around it.
 """
 
 from __future__ import annotations
@@ -69,10 +73,11 @@ def _row_key() -> Column:
     return F.unhex(F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("text", F.lit("")))))
 
 
-def chunks(docs: DataFrame, every: int = EVERY) -> DataFrame:
+def chunks(docs: DataFrame, every: int | None = EVERY) -> DataFrame:
     """``_key, doc_id, first, last, again, hash, body``: chunks of two lines or more that aren't blank.
 
-    ``again`` marks what the document itself has had before; such rows carry no body.
+    ``every`` None takes all pairs of neighbouring lines in place of the chunks. ``again`` marks what the document itself
+    has had before, without overlap; such rows carry no body.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,13 +87,12 @@ def chunks(docs: DataFrame, every: int = EVERY) -> DataFrame:
                 part = batch.slice(lo, 500)
                 for key, doc, text in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
                     lines = (text or "").split("\n")
-                    ends, seen = boundaries(lines, every), set()
-                    for a, b in zip(ends, ends[1:], strict=False):
+                    ends, seen = boundaries(lines, every) if every else [], {}
+                    for a, b in zip(ends, ends[1:], strict=False) if every else ((i, i + 2) for i in range(len(lines) - 1)):
                         body = "\n".join(lines[a:b])
                         if b - a < 2 or not body.strip("\n"):
                             continue
-                        again = body in seen
-                        seen.add(body)
+                        again = seen.setdefault(body, b) <= a
                         digest = hashlib.md5(body.encode("utf-8", "replace")).digest()
                         for column, x in zip(rows, (key, doc, a, b, again, digest, None if again else body), strict=True):
                             column.append(x)
@@ -100,8 +104,8 @@ def chunks(docs: DataFrame, every: int = EVERY) -> DataFrame:
     return source.mapInArrow(cut, f"_key binary, doc_id {kind}, first int, last int, again boolean, hash binary, body string")
 
 
-def removed(docs: DataFrame, every: int = EVERY) -> DataFrame:
-    """``_key, gone``: line ranges [first, last) to remove, of the rows that have any."""
+def removed(docs: DataFrame, every: int | None = EVERY) -> DataFrame:
+    """``_key, gone``: line ranges [first, last) to remove, of the rows that have any; ``every`` as in ``chunks``."""
     made = chunks(docs, every)
     new = made.where(~F.col("again"))
     order = F.coalesce(F.col("doc_id"), F.lit(2**63 - 1))  # null ids come last
@@ -131,6 +135,20 @@ def line_dedup(docs: DataFrame, every: int = EVERY) -> DataFrame:
     in the choice of the document that keeps a chunk; rows that share the smallest id all keep it. Input columns named as
     the added ones are replaced; an empty table gives an empty result.
     """
+    return _reduced(docs, every)
+
+
+def run_dedup(docs: DataFrame) -> DataFrame:
+    """Like ``line_dedup``, but by runs of lines: the input's columns, ``n_lines`` and ``n_removed``.
+
+    A pair of neighbouring lines, not both empty, goes if a document with a smaller id has it, or the document itself has
+    it before, without overlap; so whatever run of two lines or more is repeated goes whole. The first of all places of a
+    line never goes. A line alone that repeats between other lines stays.
+    """
+    return _reduced(docs, None).drop("n_chunks")
+
+
+def _reduced(docs: DataFrame, every: int | None) -> DataFrame:
     keep = [c for c in docs.columns if c not in ("n_lines", "n_chunks", "n_removed")]
     joined = docs.select(*keep, _row_key().alias("_key")).join(removed(docs, every), "_key", "left").select(*keep, "gone")
     schema = docs.select(*keep).schema.add("n_lines", "long").add("n_chunks", "long").add("n_removed", "long")
@@ -143,7 +161,7 @@ def line_dedup(docs: DataFrame, every: int = EVERY) -> DataFrame:
                 lines = (text or "").split("\n")
                 dead = {i for g in gone or () for i in range(g["first"], g["last"])}
                 texts.append(text if not dead else "\n".join(x for i, x in enumerate(lines) if i not in dead))
-                for column, x in zip(counts, (len(lines), len(boundaries(lines, every)) - 1, len(dead)), strict=True):
+                for column, x in zip(counts, (len(lines), len(boundaries(lines, every)) - 1 if every else 0, len(dead)), strict=True):
                     column.append(x)
             columns = [batch.column(i) for i in range(len(keep))]
             columns[at] = pa.array(texts, batch.schema.field(at).type)
