@@ -7,7 +7,8 @@ codes' distance, and reranks what is left by exact inner products in double prec
 
 Equal vectors are one entry of the index with their smallest ids, so neither a query nor the index meets copies one by one.
 The radius is measured, not set: SAMPLE_QUERIES queries are compared with all rows, and R is what RECALL of their true
-neighbours need.
+neighbours need. Queries that find fewer than k rows within it over all shards are asked again with wider radii, at last
+with one that holds every code.
 """
 
 from __future__ import annotations
@@ -66,12 +67,18 @@ def search(x: np.ndarray, codes: np.ndarray, q: np.ndarray, qc: np.ndarray, radi
     # the first rest + 1 substrings are searched within whole, the others within whole - 1: one of them must match
     limit = np.where(np.arange(m) <= rest, whole, whole - 1)
     tables = [np.ascontiguousarray(codes[:, j]) for j in range(m)]
+    # posting lists: the rows of each value of a substring. Beyond one bit a scan is shorter than the lists are
+    lists = [np.argsort(t, kind="stable") if 0 <= limit[j] <= 1 else None for j, t in enumerate(tables)]
+    starts = [np.append(0, np.cumsum(np.bincount(t, minlength=256))) for t in tables]
     words = codes.view(np.uint64) if m % 8 == 0 else None
     out = ([], [], [])
     for i in range(len(q)):
         hit = np.zeros(len(codes), dtype=bool)
         for j in range(m):
-            if limit[j] >= 0:
+            if lists[j] is not None:
+                for b in np.flatnonzero(near[qc[i, j]] <= limit[j]):
+                    hit[lists[j][starts[j][b] : starts[j][b + 1]]] = True
+            elif limit[j] >= 0:
                 hit |= (near[qc[i, j]] <= limit[j])[tables[j]]
         at = np.flatnonzero(hit)
         if words is not None:
@@ -107,7 +114,7 @@ def nearest(rows: DataFrame, step: int = 20, k: int = K, sample: int = SAMPLE, r
     is for its id. Null vectors, zero ones, and those with null or non-finite components take no part, nor do null ids
     and vectors whose length isn't the commonest. Rows that repeat id and vector count once; one id with several vectors
     is several queries' worth of neighbours merged under it. Extra columns are ignored; an empty table gives an empty
-    result.
+    result. Every query gets ``k`` rows where there are so many candidates.
     """
     spark = rows.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
@@ -151,25 +158,43 @@ def nearest(rows: DataFrame, step: int = 20, k: int = K, sample: int = SAMPLE, r
     true = np.array([r["h"] for r in best.select("h").collect()])  # SAMPLE_QUERIES * (k + 1) numbers at most
     radius = int(np.quantile(true, recall, method="higher"))
 
-    shards, blocks = max(6, math.ceil(count / SHARD_ROWS)), math.ceil(n_asked / QUERY_BLOCK)
-    index = entries.select(F.pmod("o", F.lit(shards)).cast("int").alias("shard"), "e", "ids").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    probes = asked.select(F.pmod(F.xxhash64("o"), F.lit(blocks)).cast("int").alias("block"), "o", "e").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-
-    def probe(left: pa.Table, right: pa.Table) -> pa.Table:
-        empty = pa.table({"o": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int64())), "score": pa.array([], pa.float64())})
-        if not left.num_rows or not right.num_rows:
-            return empty
-        x, q = _matrix(left.column("e")), _matrix(right.column("e"))
-        i, at, score = search(x, encode(x, mean, projection), q, encode(q, mean, projection), radius, k + 1)
-        return pa.table({"o": right.column("o").take(pa.array(i)), "ids": left.column("ids").take(pa.array(at)), "score": pa.array(score, pa.float64())})
-
-    keys = ["shard", "block"]
-    found = index.groupBy(*keys).cogroup(probes.groupBy(*keys)).applyInArrow(probe, "o long, ids array<long>, score double")
-    # k + 1 entries hold what any of the queries with this vector can use; ties of the last one all stay until ids decide
-    found = found.withColumn("r", F.rank().over(Window.partitionBy("o").orderBy(F.desc("score")))).where(F.col("r") <= k + 1)
-    flat = found.select("o", "score", F.explode("ids").alias("vec_id"))
-    flat = flat.withColumn("r", F.row_number().over(Window.partitionBy("o").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= k + 1)
-    lists = durable(flat.groupBy("o").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))).alias("near")))
+    shards = max(6, math.ceil(count / SHARD_ROWS))
+
+    def lookup(some: DataFrame, n: int, radius: int) -> DataFrame:
+        """``o, near``: what the ``n`` vectors in ``some`` find within the radius, the k + 1 best."""
+        blocks = math.ceil(n / QUERY_BLOCK)
+        index = entries.select(F.pmod("o", F.lit(shards)).cast("int").alias("shard"), "e", "ids").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        probes = some.select(F.pmod(F.xxhash64("o"), F.lit(blocks)).cast("int").alias("block"), "o", "e").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+
+        def probe(left: pa.Table, right: pa.Table) -> pa.Table:
+            empty = pa.table({"o": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int64())), "score": pa.array([], pa.float64())})
+            if not left.num_rows or not right.num_rows:
+                return empty
+            x, q = _matrix(left.column("e")), _matrix(right.column("e"))
+            i, at, score = search(x, encode(x, mean, projection), q, encode(q, mean, projection), radius, k + 1)
+            return pa.table({"o": right.column("o").take(pa.array(i)), "ids": left.column("ids").take(pa.array(at)), "score": pa.array(score, pa.float64())})
+
+        keys = ["shard", "block"]
+        found = index.groupBy(*keys).cogroup(probes.groupBy(*keys)).applyInArrow(probe, "o long, ids array<long>, score double")
+        # k + 1 entries hold what any of the queries with this vector can use; ties of the last one all stay until ids decide
+        found = found.withColumn("r", F.rank().over(Window.partitionBy("o").orderBy(F.desc("score")))).where(F.col("r") <= k + 1)
+        flat = found.select("o", "score", F.explode("ids").alias("vec_id"))
+        flat = flat.withColumn("r", F.row_number().over(Window.partitionBy("o").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= k + 1)
+        return durable(flat.groupBy("o").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))).alias("near")))
+
+    # a vector that finds k + 1 ids, its own among them, is done; the others look further, until all codes are within reach
+    bits, wider = projection.shape[1], math.ceil(projection.shape[1] / 8)
+    if valid.limit(k + 2).count() <= k + 1:
+        radius = bits
+    lists, left = lookup(asked, n_asked, radius), asked
+    while radius < bits:
+        done = lists.where(F.size("near") > k)
+        left = durable(left.join(done, "o", "left_anti"))
+        n_left = left.count()
+        if not n_left:
+            break
+        radius, wider = min(bits, radius + wider), 2 * wider
+        lists = done.unionByName(lookup(left, n_left, radius))
     own = queries.select(F.col("vec_id").alias("query_id"), F.xxhash64("e").alias("o"))
     # every query takes its vector's list, without itself
     hits = own.join(lists, "o").select("query_id", F.filter("near", lambda x: x["vec_id"] != F.col("query_id")).alias("near"))
