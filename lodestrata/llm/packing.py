@@ -10,6 +10,7 @@ rank among the pieces of its length, and ranks are counted over hash buckets, so
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -32,6 +33,8 @@ PER_BUCKET = 100_000
 WORDS, CORES = 900_000, 800_000
 STEPS = 400
 
+#: White space to Python's split, but not to the tokenizer, which gives it ids.
+_SEPARATORS = re.compile("[\x1c-\x1f]")
 _PUNCTUATION = ".,!?;:#*&%$|\"()[]{}<>=-"
 _state: dict = {}
 
@@ -76,7 +79,10 @@ class Words:
         if len(self.cores) > CORES:
             self.cores.clear()
         get = self.words.__getitem__
-        return [b"".join(map(get, t.split())) for t in texts]
+        return [self._whole(t) if _SEPARATORS.search(t) else b"".join(map(get, t.split())) for t in texts]
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
 class _Remembered(dict):
