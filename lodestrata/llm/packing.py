@@ -33,8 +33,9 @@ PER_BUCKET = 100_000
 WORDS, CORES = 900_000, 800_000
 STEPS = 400
 
-#: White space to Python's split, but not to the tokenizer, which gives it ids.
+#: White space to Python's split, but not to the tokenizer, which gives it ids; and what the tokenizer's special tokens begin with.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
+_SPECIAL = "<|"
 _PUNCTUATION = ".,!?;:#*&%$|\"()[]{}<>=-"
 _state: dict = {}
 
@@ -42,15 +43,16 @@ _state: dict = {}
 class Words:
     """Token ids of words, remembered. The tokenizer cuts at white space and drops it, so words are independent.
 
-    A word of letters or digits followed by ASCII punctuation is cut there too, as the tokenizer does, and ASCII words
-    are lower-cased first, as it lower-cases anyway; that makes far fewer different words.
+    A word whose last letter or digit, lower-cased, is one as well and is followed by ASCII punctuation is cut there too,
+    as the tokenizer does, and ASCII words are lower-cased first, as it lower-cases anyway; that makes far fewer different
+    words. A word that may hold a special token, and a text with separators that aren't white space to the tokenizer, go to
+    it as they are.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         # byte-level BPE shows bytes as letters: printable Latin-1 as itself, the others from U+0100 on, in order
         plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
         others = (b for b in range(256) if b not in plain)
@@ -58,17 +60,22 @@ class Words:
         self.words = _Remembered(self.word)
         self.cores = _Remembered(self.core)
 
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
     def core(self, c: str) -> bytes:
         if c.isalpha() and (c.isascii() or (c == c.lower() and unicodedata.is_normalized("NFC", c))):
             # one run of letters that normalising leaves as it is: straight to the merges
             seen = c if c.isascii() else c.encode().decode("latin-1").translate(self.byte_letters)
             return b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(seen)])
-        return np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return self._whole(c)
 
     def word(self, w: str) -> bytes:
+        if _SPECIAL in w:
+            return self._whole(w)
         low = w.lower() if w.isascii() else w
         core = low.rstrip(_PUNCTUATION)
-        if core and core[-1].isalnum():
+        if core and core[-1].lower().isalnum():
             return self.cores[core] + self.cores[low[len(core) :]] if len(core) < len(low) else self.cores[core]
         return self.cores[low]
 
@@ -81,9 +88,6 @@ class Words:
         get = self.words.__getitem__
         return [self._whole(t) if _SEPARATORS.search(t) else b"".join(map(get, t.split())) for t in texts]
 
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
 
 class _Remembered(dict):
     """What a function has returned, by its argument."""
@@ -291,7 +295,12 @@ def pack(cut: DataFrame, most: int = MOST, grid: int = GRID) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, most: int = MOST, grid: int = GRID) -> DataFrame:
-    """Tokenize and pack all documents; a null text counts as empty and is one token, ids may be null or repeat."""
+    """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` of every piece of all documents.
+
+    Ids are the tokenizer's own, strings of special tokens included, and id 0 at the end. A null text counts as empty and is
+    one token; null and repeated ids and equal rows are documents of their own; long texts are cut, never shortened; extra
+    columns are ignored, also ones named like the result's; an empty table gives an empty result.
+    """
     return pack(pieces(docs, tokenizer or tokenizer_path(), most), most, grid)
 
 

@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from lodestrata.llm import exact_dedup, line_dedup, packing
 
@@ -49,14 +50,14 @@ def test_packing_round_trip(spark):
     docs = docs.union(spark.createDataFrame([(10_000, None), (None, "İstanbul ΑΣ don't 12,5 x<|endoftext|>y"), (10_002, "")], "doc_id long, text string"))
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     rows = packing.pack_documents(docs).collect()
-    words = packing.Words(packing.tokenizer_path())
+    tokenizer = Tokenizer.from_file(packing.tokenizer_path())
     by, seq = defaultdict(list), defaultdict(list)
     for r in rows:
         by[r["doc_id"]].append(r)
         seq[r["sequence_id"]].append(r)
     assert by.keys() == texts.keys()
     for d, pieces in by.items():
-        ids = np.array([*words.tokenizer.encode(texts[d] or "", add_special_tokens=False).ids, 0], dtype="<u4")
+        ids = np.array([*tokenizer.encode(texts[d] or "", add_special_tokens=False).ids, 0], dtype="<u4")
         pieces.sort(key=lambda r: r["piece"])
         assert [p["piece"] for p in pieces] == list(range(len(pieces)))
         assert [p["start"] for p in pieces] == list(range(0, len(ids), 2048))
