@@ -2,8 +2,9 @@
 
 Each source has a weight schedule over training progress 0..1. The schedule's integral says how many words of the
 source training has asked for by then; a document copy that fills words [c, c + size) of its source's stream is trained
-at the moment when that demand reaches the middle of its words. Positions come from inverting the integral, and the
-mixture is the copies sorted by position.
+at the moment when that demand reaches the middle of its words. Positions come from inverting the integral; a copy whose
+middle the demand of the whole training never reaches has no position and isn't taken. The mixture is the copies that have
+one, sorted by position.
 
 Prefix sums over a source are taken in two steps, over hash buckets and inside each bucket, so that a source with a
 third of all rows is spread over all tasks.
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, word_count
+from .common import durable, table, word_count
 
 NAME = "op5_mixing"
 
@@ -41,15 +42,19 @@ WITH d AS (
 ), l AS (
   SELECT max(CASE WHEN (1.5 * total::DOUBLE - full_before) / open_weight <= level THEN (1.5 * total::DOUBLE - full_before) / open_weight END) AS lam FROM f
 ), t AS (
-  SELECT f.source, f.source_size, CASE WHEN level <= lam THEN 2.0 * source_size ELSE lam * weight END::DOUBLE AS target FROM f, l
+  SELECT f.source, f.source_size, f.r, CASE WHEN level <= lam THEN 2.0 * source_size ELSE lam * weight END::DOUBLE AS target FROM f, l
 ), c AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target,
+  SELECT d.doc_id, d.size, t.source_size, t.target, CASE r % 3 WHEN 0 THEN 0.5 WHEN 1 THEN -0.5 ELSE 0.0 END::DOUBLE AS slope,
     sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(d.doc_id::VARCHAR, '')), d.doc_id NULLS FIRST, md5(coalesce(d.text, ''))
       ROWS UNBOUNDED PRECEDING) - d.size AS before
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, source_size, target,
-  (size * ((before + size / 2.0 < target)::INT + (source_size + before + size / 2.0 < target)::INT))::BIGINT AS taken
+  (size * ((before + size / 2.0 < target)::INT + (source_size + before + size / 2.0 < target)::INT))::BIGINT AS taken,
+  CASE WHEN size > 0 AND before + size / 2.0 < target THEN 2 * ((before + size / 2.0) / target)
+    / (1 + slope + sqrt(greatest((1 + slope) * (1 + slope) - 4 * slope * ((before + size / 2.0) / target), 0.0::DOUBLE))) END AS position_1,
+  CASE WHEN size > 0 AND source_size + before + size / 2.0 < target THEN 2 * ((source_size + before + size / 2.0) / target)
+    / (1 + slope + sqrt(greatest((1 + slope) * (1 + slope) - 4 * slope * ((source_size + before + size / 2.0) / target), 0.0::DOUBLE))) END AS position_2
 FROM c
 """
 
@@ -97,7 +102,9 @@ def _placed(docs: DataFrame, weights, share, most, digits, carry: bool = False)
     )
     # the source as a key without nulls
     base = base.withColumn("_k", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
-    base = base.withColumn("_b", F.substring("_o", 1, digits))
+    # null ids share a hash; they are spread by their texts', between the ids whose hashes are smaller and the others
+    within = F.when(F.col("doc_id").isNull(), F.substring("_c", 1, digits)).when(F.col("_o") < F.md5(F.lit("")), "").otherwise("g")
+    base = base.withColumn("_b", F.concat(F.substring("_o", 1, digits), F.lit("/"), within))
     cells = base.groupBy("_k", "source", "_b").agg(F.sum("size").alias("_n"))
     run = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("_before", F.coalesce(F.sum("_n").over(run), F.lit(0)))
@@ -110,19 +117,40 @@ def _placed(docs: DataFrame, weights, share, most, digits, carry: bool = False)
     return rows.withColumn("before", F.col("_before") + F.sum("size").over(inside) - F.col("size"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, digits: int = BUCKET_DIGITS) -> DataFrame:
-    """One row per document: ``doc_id, size, source_size, target, taken``.
+def _positioned(docs: DataFrame, weights, slopes, share, most, digits, carry: bool = False) -> DataFrame:
+    """Rows with ``positions``: array of struct<copy, position> of the copies that the source's demand reaches."""
+    rows = _placed(docs, weights, share, most, digits, carry)
+    slope = F.element_at(F.array(*[F.lit(float(s)) for s in slopes]), (F.col("r") % len(slopes) + 1).cast("int"))
+
+    def trained(p: int) -> Column:
+        middle = p * F.col("source_size") + F.col("before") + F.col("size") / 2.0
+        at = F.when((F.col("size") > 0) & (middle < F.col("target")), position(middle / F.col("target"), slope))
+        return F.struct(F.lit(p).alias("copy"), at.alias("position"))
+
+    copies = F.array(*[trained(p) for p in range(most)])
+    return rows.withColumn("positions", F.filter(copies, lambda c: c["position"].isNotNull()))
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, slopes=SLOPES, share: float = SHARE, most: int = MOST, digits: int = BUCKET_DIGITS, partitions=None) -> DataFrame:
+    """One row per document, in the order of training: ``doc_id, size, source_size, target, taken, position_1, ...``.
 
-    A source's stream is its documents in the order of a hash of their ids, again and again up to ``most`` times; a
-    copy is taken when the middle of its words lies before the source's target, so what is taken differs from the
-    target by half a document at most. Null sources are one source, ordered last; a null text has size 0 and is never
-    taken; a null id hashes as an empty one; rows that repeat an id are ordered by their text. Extra columns are
-    ignored, an empty table gives an empty result.
+    A source's stream is its documents in the order of a hash of their ids, again and again up to ``most`` times. The
+    copies that are taken are those with a position in the curriculum, ``position_1`` to ``position_<most>``, null for
+    copies that aren't taken. The schedule's whole demand is the source's target, so what is taken differs from it by half
+    a document at most. Rows are sorted by range of the first position; those not taken come last. Null sources are one
+    source, ordered last; a null text has size 0 and is never taken; a null id hashes as an empty one; rows that repeat an
+    id are ordered by their text. Extra columns are ignored, an empty table gives an empty result.
     """
-    rows = _placed(docs, weights, share, most, digits)
-    middle = F.col("before") + F.col("size") / 2.0
-    taken = sum((middle + p * F.col("source_size") < F.col("target")).cast("long") for p in range(most))
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * taken).alias("taken"))
+    rows = _positioned(docs, weights, slopes, share, most, digits)
+    taken = F.col("size") * F.size("positions")
+    out = rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"), *[F.get("positions", F.lit(p))["position"].alias(f"position_{p + 1}") for p in range(most)])
+    return _ranged(out, [F.col("position_1").asc_nulls_last(), F.col("doc_id").asc()], partitions)
+
+
+def _ranged(rows: DataFrame, order: list, partitions) -> DataFrame:
+    """Rows sorted by range. They are written first, so that finding the ranges doesn't compute them a second time."""
+    rows = durable(rows)
+    return (rows.repartitionByRange(partitions, *order) if partitions else rows.repartitionByRange(*order)).sortWithinPartitions(*order)
 
 
 def curriculum(docs: DataFrame, weights=WEIGHTS, slopes=SLOPES, share=SHARE, most=MOST, digits=BUCKET_DIGITS, partitions=None) -> DataFrame:
@@ -131,17 +159,14 @@ def curriculum(docs: DataFrame, weights=WEIGHTS, slopes=SLOPES, share=SHARE, mos
     One row for every copy that ``mix`` takes; an input that has columns ``copy`` or ``position`` loses them. The result
     is sorted by range, so that file k holds the k-th stretch of training. Edge cases are those of ``mix``.
     """
-    rows = _placed(docs, weights, share, most, digits, carry=True)
-    slope = F.element_at(F.array(*[F.lit(float(s)) for s in slopes]), (F.col("r") % len(slopes) + 1).cast("int"))
-    middle = F.col("before") + F.col("size") / 2.0 + F.col("copy") * F.col("source_size")
-    copies = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(most - 1)))).where((middle < F.col("target")) & (F.col("size") > 0))
-    copies = copies.withColumn("position", position(middle / F.col("target"), slope))
+    rows = _positioned(docs, weights, slopes, share, most, digits, carry=True).withColumn("_p", F.explode("positions"))
     kept = [F.col("_row")[c].alias(c) for c in docs.columns if c not in ("copy", "position")]
-    out = copies.select(*kept, "copy", "position")
-    order = ["position", "copy", "doc_id"]
-    return (out.repartitionByRange(partitions, *order) if partitions else out.repartitionByRange(*order)).sortWithinPartitions(*order)
+    return _ranged(rows.select(*kept, "_p.copy", "_p.position"), ["position", "copy", "doc_id"], partitions)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mix all documents: weights 3, 1, 2 repeating, 150 % of all words, no source above twice its size."""
+    """Mix all documents: weights 3, 1, 2 repeating, 150 % of all words, no source above twice its size.
+
+    The first source's share falls over training, the second's rises, the third's stays, repeating.
+    """
     return mix(table(spark, sf_dir, "documents"))
