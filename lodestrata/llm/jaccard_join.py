@@ -4,10 +4,14 @@ Documents with equal shingle sets are one row of the matrix (a class). The produ
 decide: each class's shingles are put in one global order, rare ones first, and two classes of similarity t must share a
 column among the first n - ceil(t n) + 1 of both. Those columns are dealt into blocks; a block multiplies its postings and
 drops pairs whose sizes, or whose places of the shared column, bound the overlap below what t asks for. Columns with few
-postings give all pairs. Columns with many give each posting and a leader, the one with the fewest rarer shingles, and
-come back, once linked classes are known, for the pairs across components only. So the work follows the links that are
-needed for the components, and no link between components is lost. Overlaps of the remaining pairs are counted on whole
-sets.
+postings give all pairs. Columns with many give each posting and a leader, the one with the fewest rarer shingles. They
+come back, once linked classes are known: first with one posting of each component against the column's leader, then,
+where components are still apart, in square tiles of postings, in which sizes, places and a parity sketch of the whole
+sets bound the overlap before a pair is given. So the work follows the links that are needed for the components, and no
+link between components is lost. Overlaps of the remaining pairs are counted on whole sets.
+
+Columns that hold many postings in all are dealt over several blocks, by size and class. Rows of hubs, of large components
+and of leaders are spread by salts, so no key meets whole in one task.
 
 The order of the shingles comes from a table of counters of fixed size, filled over all documents. It decides how much is
 compared, never what is found.
@@ -15,6 +19,7 @@ compared, never what is found.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -25,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, join_counted, table
+from .common import HOT_SHARE, durable, join_counted, table
 
 NAME = "op9_jaccard_join"
 
@@ -37,6 +42,12 @@ _PART = 1 << 16
 BLOCKS_PER_PARTITION = 8
 #: Columns with at most so many classes give all their pairs at once.
 FEW = 6
+#: Postings of a column that stay together in a block, about; postings on one side of a tile.
+TOGETHER = 50_000
+TILE = 512
+#: Bits of a parity sketch.
+SKETCH = 1024
+_DEALT = 1 << 31
 _U = np.uint64
 
 ORACLE = r"""
@@ -206,19 +217,31 @@ def read(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("text", "doc_id").mapInArrow(run, f"doc_id {kind}, cls binary, n long, part int, counts binary")
 
 
-def frequency_classes(parts: DataFrame) -> np.ndarray:
-    """The counters of all tasks, summed and put on a logarithmic scale of one byte: COUNTERS bytes."""
+def frequency_classes(parts: DataFrame, tasks: int) -> np.ndarray:
+    """The counters of all tasks, summed and put on a logarithmic scale of one byte: COUNTERS bytes.
+
+    They are summed in two steps, so that no group gets more than about the square root of ``tasks`` rows.
+    """
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+    def add(pdf: pd.DataFrame) -> np.ndarray:
         total = np.zeros(_PART, dtype=np.uint64)
         for x in pdf["counts"]:
-            total += np.frombuffer(zlib.decompress(x), dtype=np.uint32)
-        scale = np.minimum(255, 6 * np.log2(1 + total.astype(np.float64))).astype(np.uint8)
+            got = np.frombuffer(zlib.decompress(x), dtype=np.uint8)
+            total += got.view(np.uint64 if len(got) == 8 * _PART else np.uint32)
+        return total
+
+    def some(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "counts": [zlib.compress(add(pdf).tobytes(), 1)]})
+
+    def scaled(pdf: pd.DataFrame) -> pd.DataFrame:
+        scale = np.minimum(255, 6 * np.log2(1 + add(pdf).astype(np.float64))).astype(np.uint8)
         return pd.DataFrame({"part": [pdf["part"].iloc[0]], "scale": [scale.tobytes()]})
 
-    rows = parts.groupBy("part").applyInPandas(add, "part int, scale binary").collect()
+    lots = max(1, math.isqrt(tasks))
+    dealt = parts.withColumn("_lot", F.pmod(F.xxhash64("counts"), F.lit(lots)))
+    first = dealt.groupBy("part", "_lot").applyInPandas(some, "part int, counts binary")
     out = np.zeros(COUNTERS, dtype=np.uint8)
-    for r in rows:
+    for r in first.groupBy("part").applyInPandas(scaled, "part int, scale binary").collect():  # COUNTERS / _PART rows
         out[r["part"] * _PART : (r["part"] + 1) * _PART] = np.frombuffer(r["scale"], dtype=np.uint8)
     return out
 
@@ -241,7 +264,23 @@ def _unpack(blob: bytes) -> np.ndarray:
     return r
 
 
-def postings(docs: DataFrame, scale, blocks: int, k: int, num: int, den: int) -> DataFrame:
+def _block(r: np.ndarray, scale: np.ndarray, blocks: int, num: int, den: int, together: int) -> np.ndarray:
+    """Blocks of postings, by hash; columns that may hold more than ``together`` postings by size and class as well.
+
+    The places of the latter get the bit _DEALT: such a column's postings come back whatever a block sees of them.
+    """
+    lots = (np.exp2(scale[(r["h"] & _U(COUNTERS - 1)).astype(np.int64)] / 6.0) / together).astype(np.int64)
+    many = np.flatnonzero(lots)
+    key = r["h"].copy()
+    if len(many):
+        band = (np.log(r["n"][many]) / math.log(den / num)).astype(np.uint64) if num < den else r["n"][many].astype(np.uint64)
+        lot = (_mix(r["c"][many].view(np.uint64)) % (lots[many] + 1).astype(np.uint64)) * _U(1 << 20) + band
+        key[many] = _mix(key[many] ^ (lot * _U(_BASE)))
+        r["at"][many] |= _DEALT
+    return (key % _U(blocks)).astype(np.int64)
+
+
+def postings(docs: DataFrame, scale, blocks: int, k: int, num: int, den: int, together: int = TOGETHER) -> DataFrame:
     """``block, records``: the first shingles of every class, by block of the shingle's hash. Classes once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,7 +292,7 @@ def postings(docs: DataFrame, scale, blocks: int, k: int, num: int, den: int) ->
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
                 r = np.concatenate(held)
-                b = (r["h"] % _U(blocks)).astype(np.int64)
+                b = _block(r, order, blocks, num, den, together)
                 by = np.argsort(b, kind="stable")
                 r, b = r[by], b[by]
                 cut = np.flatnonzero(np.diff(b)) + 1
@@ -298,16 +337,17 @@ def multiply(blocks: DataFrame, num: int, den: int, few: int) -> DataFrame:
         h = r["h"]
         head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(r) else np.zeros(0, dtype=np.int64)
         size = np.diff(np.append(head, len(r)))
-        c, n, at = r["c"], r["n"].astype(np.int64), r["at"].astype(np.int64)
+        c, n, at = r["c"], r["n"].astype(np.int64), (r["at"] & (_DEALT - 1)).astype(np.int64)
+        long = (size > few) | (r["at"][head] >= _DEALT)
         first, second = [], []
         for s in range(2, few + 1):  # all columns with s classes at once
-            heads = head[size == s]
+            heads = head[(size == s) & ~long]
             for i in range(s):
                 for j in range(i + 1, s):
                     first.append(heads + i)
                     second.append(heads + j)
         back = []
-        for start, s in zip(head[size > few], size[size > few], strict=True):
+        for start, s in zip(head[long], size[long], strict=True):
             member = start + np.argsort(n[start : start + s], kind="stable")
             lo = 0
             while lo < s:  # bands of sizes that can be similar to the smallest
@@ -320,7 +360,7 @@ def multiply(blocks: DataFrame, num: int, den: int, few: int) -> DataFrame:
             back.append(member)
         whole = lambda x: np.concatenate(x) if x else np.zeros(0, dtype=np.int64)
         x, y = whole(first), whole(second)
-        ok = (c[x] != c[y]) & _possible(n[x], n[y], at[x], at[y], num, den)
+        ok = ((c[x] != c[y]) | (n[x] != n[y])) & _possible(n[x], n[y], at[x], at[y], num, den)
         x, y = x[ok], y[ok]
         swap = c[x] > c[y]
         x, y = np.where(swap, y, x), np.where(swap, x, y)
@@ -334,7 +374,7 @@ def multiply(blocks: DataFrame, num: int, den: int, few: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """``c, cls, h``: whole shingle sets of the classes in ``wanted`` (column ``c``), and of few others.
+    """``c, cls, h, sketch``: whole shingle sets of the classes in ``wanted`` (column ``c``), and of few others.
 
     The texts are read again; a bit table of fixed size keeps most other classes out, and the joins with the pairs all of
     them. A class that several tasks meet has a row from each; ``links`` takes one.
@@ -350,27 +390,50 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = np.unpackbits(shared.value).astype(bool)
         seen: set[bytes] = set()
-        out: list[list] = [[], [], []]
+        out: list[list] = [[], [], [], []]
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["c", "cls", "h", "sketch"])
+
         for _, _, h in _texts(batches, k):
             if len(h):
                 cls = _class(h)
                 if keep[_short(cls) % bits] and cls not in seen:
                     seen.add(cls)
-                    for column, x in zip(out, (_short(cls), cls, h.tobytes()), strict=True):
+                    for column, x in zip(out, (_short(cls), cls, h.tobytes(), sketch(h)), strict=True):
                         column.append(x)
                     if len(out[0]) == 200:
-                        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["c", "cls", "h"])
-                        out = [[], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["c", "cls", "h"])
+                        yield batch()
+                        out = [[], [], [], []]
+        yield batch()
+
+    return docs.select("text").mapInArrow(run, "c long, cls binary, h binary, sketch binary")
+
 
-    return docs.select("text").mapInArrow(run, "c long, cls binary, h binary")
+def sketch(h: np.ndarray) -> bytes:
+    """Parities of how many of the hashes fall on each bit. Where two sketches differ, the sets differ in one hash at least."""
+    return np.packbits(np.bincount((h % _U(SKETCH)).astype(np.int64), minlength=SKETCH) & 1).tobytes()
 
 
 def links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """``x, y``: classes of the pairs whose whole sets are similar enough. Overlaps are counted exactly."""
-    sets = sets.repartition("c").dropDuplicates(["c", "cls"])  # one shuffle by c serves this and the joins
-    right = pairs.join(sets.select(F.col("c").alias("b"), F.col("cls").alias("y"), F.col("h").alias("hy")), "b")
-    joined = right.join(sets.select(F.col("c").alias("a"), F.col("cls").alias("x"), F.col("h").alias("hx")), "a").select("x", "hx", "y", "hy")
+    """``x, y``: classes of the pairs whose whole sets are similar enough. Overlaps are counted exactly.
+
+    A class in very many pairs has its set repeated under salts, over which its pairs are spread.
+    """
+    least = max(1000.0, pairs.count() * HOT_SHARE)
+    ends = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).groupBy("k").agg(F.ceil(F.count("*") / least).cast("int").alias("lots"))
+    hot = durable(ends.where("lots > 1"))  # 2 / HOT_SHARE rows at most
+
+    def lots(rows: DataFrame, key: str, name: str) -> DataFrame:
+        return rows.join(F.broadcast(hot.select(F.col("k").alias(key), F.col("lots").alias(name))), key, "left").withColumn(name, F.coalesce(name, F.lit(1)))
+
+    dealt = lots(lots(pairs, "a", "_a"), "b", "_b")
+    dealt = dealt.select("a", "b", F.pmod(F.xxhash64("b"), "_a").cast("int").alias("_a"), F.pmod(F.xxhash64("a"), "_b").cast("int").alias("_b"))
+    whole = lots(sets.select("c", "cls", "h"), "c", "_l").withColumn("_s", F.explode(F.sequence(F.lit(0), F.col("_l") - 1))).drop("_l")
+    whole = whole.repartition("c", "_s").dropDuplicates(["c", "_s", "cls"])  # one shuffle serves this and both joins
+    right = dealt.join(whole.select(F.col("c").alias("b"), F.col("_s").alias("_b"), F.col("cls").alias("y"), F.col("h").alias("hy")), ["b", "_b"])
+    joined = right.join(whole.select(F.col("c").alias("a"), F.col("_s").alias("_a"), F.col("cls").alias("x"), F.col("h").alias("hx")), ["a", "_a"])
+    joined = joined.where("x != y").select("x", "hx", "y", "hy")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -390,20 +453,94 @@ def links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``v, label``: the smallest vertex of each vertex's component. Labels spread to neighbours and jump along labels."""
+    """``v, label``: the smallest vertex of each vertex's component. Labels spread to neighbours and jump along labels.
+
+    Neighbours of a hub and vertices of a large component are spread by ``join_counted``.
+    """
     both = durable(edges.select("x", "y").union(edges.select("y", "x")).where("x != y").distinct())
-    labels = durable(both.groupBy(F.col("x").alias("v")).agg(F.least(F.col("v"), F.min("y")).alias("label")))
+    start = both.groupBy(F.col("x").alias("v")).agg(F.min("y").alias("m"), F.count("*").alias("d"))
+    labels = durable(start.select("v", F.least("v", "m").alias("label"), "d"))
+    n_edges, n = both.count(), labels.count()
     while True:
-        near = both.join(labels.select(F.col("v").alias("y"), "label"), "y").groupBy(F.col("x").alias("v")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "v", "left").select("v", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("v").alias("label"), F.col("label").alias("far"))
-        new = durable(step.join(jump, "label", "left").select("v", "old", F.least("label", "far").alias("label")))
-        labels = new.select("v", "label")
+        seen = join_counted(both, labels.select(F.col("v").alias("y"), "label", "d"), "y", "d", n_edges)
+        near = seen.groupBy(F.col("x").alias("v")).agg(F.min("label").alias("near"))
+        step = durable(labels.join(near, "v", "left").select("v", "d", F.col("label").alias("old"), F.least("label", "near").alias("label")))
+        size = step.groupBy("label").agg(F.count("*").alias("_n"))
+        jump = labels.select(F.col("v").alias("label"), F.col("label").alias("far")).join(size, "label")
+        new = durable(join_counted(step, jump, "label", "_n", n).select("v", "d", "old", F.least("label", "far").alias("label")))
+        labels = new.select("v", "label", "d")
         if new.where("label != old").isEmpty():
-            return labels
+            return labels.select("v", "label")
 
 
-def jaccard_components(docs: DataFrame, k: int = WORDS, num: int = NUMERATOR, den: int = DENOMINATOR, few: int = FEW, blocks: int | None = None) -> DataFrame:
+def _columns(back: DataFrame, ids: DataFrame, num: int, den: int) -> DataFrame:
+    """Postings that come back, by shingle and band of sizes, where a column holds several components.
+
+    ``k, c, na, at, label, own, cnt``; sizes that can be similar are in the same band or the next, so a posting is in the
+    column of its band, and with ``own`` false in that of the band below.
+    """
+    marked = durable(back.join(ids.select("c", "label"), "c"))
+    width = math.log(den / num) * 1.0001 if num < den else 0.5
+    band = F.floor(F.ln("na") / width).cast("int")
+    wide = F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("own")), F.struct((band - 1).alias("band"), F.lit(False).alias("own"))))
+    rows = marked.withColumn("w", wide).select(F.xxhash64("h", "w.band").alias("k"), "c", "na", "at", "label", "w.own")
+    several = rows.groupBy("k").agg(F.count("*").alias("cnt"), F.min("label").alias("l"), F.max("label").alias("m"), F.max("own").alias("o"))
+    several = several.where("l != m and o").select("k", "cnt", F.col("cnt").alias("size"))
+    return join_counted(rows, several, "k", "cnt", 2 * marked.count()).where("cnt is not null").drop("size")
+
+
+def _led(open_: DataFrame, num: int, den: int) -> DataFrame:
+    """``a, b``: in each column, one posting of each component against the posting with the fewest rarer shingles."""
+    one = open_.groupBy("k", "label").agg(F.min(F.struct((F.col("at") / F.col("na")).alias("r"), "c", "na", "at")).alias("s"))
+    one = durable(one.select("k", "s"))
+    lead = one.groupBy("k").agg(F.min("s").alias("l"), F.count("*").alias("n"))
+    rows = join_counted(one, lead, "k", "n", one.count())
+    room = F.least(F.col("s.na") - F.col("s.at"), F.col("l.na") - F.col("l.at"))
+    rows = rows.where((F.col("s.c") != F.col("l.c")) & (room >= F.ceil(F.lit(num) * (F.col("s.na") + F.col("l.na")) / F.lit(num + den))))
+    return rows.select(F.least("s.c", "l.c").alias("a"), F.greatest("s.c", "l.c").alias("b")).distinct()
+
+
+def _tiled(open_: DataFrame, sketches: DataFrame, blocks: int, num: int, den: int, tile: int) -> DataFrame:
+    """``a, b``: pairs of different components in a column that sizes, places and sketches leave room for.
+
+    A column's postings are dealt into lots of about ``tile`` by class; every two lots meet once, in tiles spread over all
+    tasks.
+    """
+    rows = open_.join(sketches, "c").withColumn("lots", F.ceil(F.col("cnt") / tile).cast("int")).withColumn("lot", F.pmod(F.xxhash64("c"), "lots").cast("int"))
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)))
+    rows = rows.withColumn("i", F.least("lot", "o")).withColumn("j", F.greatest("lot", "o"))
+    rows = rows.select(F.xxhash64("k", "i", "j").alias("t"), "k", "i", "j", "lot", "c", "na", "at", "label", "own", "sketch")
+    work = open_.agg(F.coalesce(F.sum(F.ceil(F.col("cnt") / tile)), F.lit(0))).first()[0]
+    rows = rows.withColumn("block", F.pmod("t", F.lit(max(blocks, int(work) // 100_000))))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["k", "i", "j"], kind="stable")
+        key = pdf[["k", "i", "j"]].to_numpy()
+        head = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)]))
+        label = pd.factorize(pdf["label"])[0]
+        bits = np.frombuffer(b"".join(pdf["sketch"]), dtype=np.uint64).reshape(len(pdf), -1)
+        c, n, at, own, low = (pdf[x].to_numpy() for x in ("c", "na", "at", "own", "lot"))
+        first = low == pdf["i"].to_numpy()
+        same = pdf["i"].to_numpy() == pdf["j"].to_numpy()
+        out = []
+        for lo, hi in zip(head, np.append(head[1:], len(pdf)), strict=True):
+            left = lo + np.flatnonzero(first[lo:hi])
+            right = left if same[lo] else lo + np.flatnonzero(~first[lo:hi])
+            for x in np.array_split(left, max(1, len(left) * len(right) // 65_536)):
+                i, j = x[:, None], right[None, :]
+                ok = (label[i] != label[j]) & (own[i] | own[j]) & ((c[i] < c[j]) if same[lo] else True) & _possible(n[i], n[j], at[i], at[j], num, den)
+                p, q = np.nonzero(ok)
+                p, q = x[p], right[q]
+                apart = np.bitwise_count(bits[p] ^ bits[q]).sum(axis=1, dtype=np.int64)
+                good = n[p] + n[q] - apart >= 2 * -(-num * (n[p] + n[q]) // (num + den))
+                out.append(np.stack([np.minimum(c[p], c[q]), np.maximum(c[p], c[q])], axis=1)[good])
+        pairs = np.unique(np.concatenate(out), axis=0)
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return rows.groupBy("block").applyInPandas(run, "a long, b long").distinct()
+
+
+def jaccard_components(docs: DataFrame, k: int = WORDS, num: int = NUMERATOR, den: int = DENOMINATOR, few: int = FEW, blocks: int | None = None, together: int = TOGETHER, tile: int = TILE) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id``.
 
     Documents link when the Jaccard similarity of their distinct word shingles is num / den or more; ``component_id`` is
@@ -413,40 +550,35 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, num: int = NUMERATOR, de
     empty result.
     """
     spark = docs.sparkSession
-    blocks = blocks or max(8, docs.rdd.getNumPartitions() * BLOCKS_PER_PARTITION)
+    tasks = docs.rdd.getNumPartitions()
+    blocks = blocks or max(8, tasks * BLOCKS_PER_PARTITION)
     known = durable(read(docs, k))
-    scale = spark.sparkContext.broadcast(frequency_classes(known.where("part is not null").select("part", "counts")))
+    scale = spark.sparkContext.broadcast(frequency_classes(known.where("part is not null").select("part", "counts"), tasks))
     rows = known.where("part is null").select("doc_id", "cls", "n")
-    dealt = postings(docs, scale, blocks, k, num, den).repartition(blocks, "block")
+    dealt = postings(docs, scale, blocks, k, num, den, together).repartition(blocks, "block")
     product = durable(multiply(dealt, num, den, few))
     pairs = durable(product.where("b is not null").select("a", "b").distinct())
-    back = product.where("b is null").select("h", F.col("a").alias("c"), "na", "at")
+    back = product.where("b is null").select("h", F.col("a").alias("c"), "na", "at").distinct()
     wanted = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).union(back.select("c")).distinct()
     sets = durable(_sets(docs, wanted, k))
     edges = durable(links(pairs, sets, num, den))
     labels = components(edges)
-    # columns with many postings: pairs across the components found so far, if size and place allow
-    ids = sets.select("c", "cls").distinct().join(labels.select(F.col("v").alias("cls"), "label"), "cls", "left").select("c", F.coalesce("label", "cls").alias("label"))
-    marked = back.join(ids, "c")
-    several = marked.groupBy("h").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l != m").select("h")
-    open_ = durable(marked.join(several, "h", "left_semi"))
-    least = F.ceil(F.lit(num) * (F.col("na") + F.col("nb")) / F.lit(num + den))
-    other = open_.select("h", F.col("c").alias("b"), F.col("na").alias("nb"), F.col("at").alias("bt"), F.col("label").alias("lb"))
-    cross = open_.join(other, "h").where(
-        (F.col("c") < F.col("b"))
-        & (F.col("label") != F.col("lb"))
-        & (F.least(F.col("na") - F.col("at"), F.col("nb") - F.col("bt")) >= least)
-        & (F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
-    )
-    more = durable(cross.select(F.col("c").alias("a"), "b").distinct().join(pairs, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        some = durable(more.select(F.col("a").alias("c")).union(more.select("b")).distinct())
-        edges = durable(edges.union(links(more, sets.join(some, "c", "left_semi"), num, den)))
-        labels = components(edges)
+    # columns with many postings, where they hold several components: leaders first, then tiles of what is still apart
+    for last in (False, True):
+        ids = sets.select("c", "cls").distinct().join(labels.select(F.col("v").alias("cls"), "label"), "cls", "left").select("c", F.coalesce("label", "cls").alias("label"))
+        open_ = durable(_columns(back, ids, num, den))
+        if open_.isEmpty():
+            break
+        new = _tiled(open_, sets.select("c", "sketch").dropDuplicates(["c"]), blocks, num, den, tile) if last else _led(open_, num, den)
+        new = durable(new.join(pairs, ["a", "b"], "left_anti"))
+        if not new.isEmpty():
+            some = durable(new.select(F.col("a").alias("c")).union(new.select("b")).distinct())
+            edges = durable(edges.union(links(new, sets.join(some, "c", "left_semi"), num, den)))
+            pairs, labels = pairs.union(new), components(edges)
     classes = rows.where("cls is not null").groupBy("cls").agg(F.count("*").alias("_count"), F.min("doc_id").alias("_min"))
-    classes = classes.join(labels.select(F.col("v").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    lowest = classes.groupBy("label").agg(F.min("_min").alias("component_id"))
-    groups = classes.join(lowest, "label").select("cls", "component_id", "_count")
+    classes = durable(classes.join(labels.select(F.col("v").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls")))
+    lowest = classes.groupBy("label").agg(F.min("_min").alias("component_id"), F.count("*").alias("_size"))
+    groups = join_counted(classes, lowest, "label", "_size", classes.count()).select("cls", "component_id", "_count")
     out = join_counted(rows, groups, "cls", "_count", rows.count())
     own = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))

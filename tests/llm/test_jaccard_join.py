@@ -50,11 +50,11 @@ def corpus(seed, edits):
     return list(zip(ids, texts, strict=True))
 
 
-@pytest.mark.parametrize(("seed", "edits", "few"), [(1, 3, 2), (2, 5, 6), (3, 2, 3)])
-def test_planted(spark, seed, edits, few):
+@pytest.mark.parametrize(("seed", "edits", "few", "together", "tile"), [(1, 3, 2, 10, 3), (2, 5, 6, 50_000, 512), (3, 2, 3, 2, 8), (4, 12, 2, 20, 5)])
+def test_planted(spark, seed, edits, few, together, tile):
     rows = corpus(seed, edits)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jj.jaccard_components(docs, few=few, blocks=7).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jj.jaccard_components(docs, few=few, blocks=7, together=together, tile=tile).collect()}
     assert got == brute(rows)
 
 
@@ -65,3 +65,22 @@ def test_edges(spark):
     got = sorted((r["doc_id"] or 0, r["component_id"]) for r in jj.jaccard_components(spark.createDataFrame(rows, schema)).collect())
     assert got == [(0, 4), (0, 4), (4, 4), (4, 4), (5, 5)]
     assert jj.near_dedup(spark.createDataFrame(rows, schema)).count() == 2
+
+
+def test_template_family_below_the_threshold(spark):
+    """Pages of one template that aren't near duplicates share long columns; a few true pairs hide among them."""
+    rng = random.Random(9)
+    frame = [f"t{i}" for i in range(60)]
+    rows = [(i, " ".join([*frame, *(str(rng.randrange(10**6)) for _ in range(30))])) for i in range(400)]
+    rows += [(1000 + i, t + " end") for i, t in rows[::40]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jj.jaccard_components(docs, together=100, tile=32).collect()}
+    assert got == brute(rows)
+    assert sum(c != d for d, (_, c) in got.items()) == 10
+
+
+def test_hub(spark):
+    """One class with thousands of neighbours that aren't linked otherwise, and labels that meet on one component."""
+    edges = spark.range(20_000).selectExpr("cast('h' as binary) as x", "cast(concat('z', id) as binary) as y")
+    got = jj.components(edges)
+    assert got.count() == 20_001 and got.where("label != cast('h' as binary)").isEmpty()
