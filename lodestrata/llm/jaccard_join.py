@@ -30,15 +30,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import counters
 from .common import HOT_SHARE, durable, join_counted, table
+from .counters import COUNTERS, cells
+from .words import IN_WORD, LOWER, hashes, mix
 
 NAME = "op9_jaccard_join"
 
 WORDS = 5
 #: Similarity as a fraction.
 NUMERATOR, DENOMINATOR = 4, 5
-COUNTERS = 1 << 22
-_PART = 1 << 16
 BLOCKS_PER_PARTITION = 8
 #: Columns with at most so many classes give all their pairs at once.
 FEW = 6
@@ -74,35 +75,13 @@ FROM w LEFT JOIN n USING (doc_id)
 """
 
 
-_LETTERS = np.array([xxhash.xxh3_64_intdigest(bytes([i]).lower()) for i in range(256)], dtype=np.uint64)
-_IN_WORD = np.array([i not in b" \t\n\v\f\r" for i in range(256)])
-#: Bytes that are hashed at a time; longer words are hashed alone.
-_PIECE = 1 << 17
 #: Bytes of whole texts that are taken at a time.
 _CHUNK = 1 << 21
 
 
-def _powers(base: int) -> np.ndarray:
-    out = np.full(_PIECE + 1, base, dtype=np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-_BASE = 0x9E3779B97F4A7C15
-_UP, _DOWN = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> _U(32))) * _U(0xD6E8FEB86659FD93)
-    return h ^ (h >> _U(32))
-
-
 def _words(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First bytes of all words, A-Z lower-cased, and their 64-bit hashes. Words end at the places of ``cuts``, too.
-
-    A word's hash is a polynomial over its letters' values, taken as a difference of prefix sums over a piece of bytes.
-    """
-    inside = _IN_WORD[data]
+    """First bytes of all words, A-Z lower-cased, and their 64-bit hashes. Words end at the places of ``cuts``, too."""
+    inside = IN_WORD[data]
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
     last[:-1] &= ~inside[1:]
@@ -111,31 +90,16 @@ def _words(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     before = cuts[cuts > 0] - 1
     last[before] = inside[before]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    out = np.empty(len(starts), dtype=np.uint64)
-    i = 0
-    while i < len(starts):
-        lo = starts[i]
-        j = int(np.searchsorted(ends, lo + _PIECE, side="right"))
-        if j <= i:
-            out[i] = xxhash.xxh3_64_intdigest(data[lo : ends[i]].tobytes().lower())
-            i += 1
-            continue
-        piece = data[lo : ends[j - 1]]
-        sums = np.zeros(len(piece) + 1, dtype=np.uint64)
-        np.cumsum(_LETTERS[piece] * _UP[: len(piece)], out=sums[1:])
-        s = starts[i:j] - lo
-        out[i:j] = (sums[ends[i:j] - lo] - sums[s]) * _DOWN[s]
-        i = j
-    return starts, _mix(out)
+    return starts, hashes(data, starts, ends, LOWER)
 
 
 def _windows(v: np.ndarray, size: int) -> np.ndarray:
     m = max(0, len(v) - size + 1)
     h = np.full(m, size, dtype=np.uint64)
     for i in range(size):
-        h *= _U(_BASE)
+        h *= _U(0x9E3779B97F4A7C15)
         h += v[i : m + i]
-    return _mix(h)
+    return mix(h)
 
 
 def shingle_sets(texts: pa.Array, k: int = WORDS) -> Iterator[np.ndarray]:
@@ -199,7 +163,7 @@ def read(docs: DataFrame, k: int) -> DataFrame:
             doc_type = batch.schema.field(1).type
             sets = list(shingle_sets(batch.column(0), k))
             m = len(sets)
-            held += [(s & _U(COUNTERS - 1)).astype(np.uint32) for s in sets]
+            held += [cells(s).astype(np.uint32) for s in sets]
             size += sum(map(len, sets))
             if size > COUNTERS:
                 count()
@@ -209,43 +173,13 @@ def read(docs: DataFrame, k: int) -> DataFrame:
             )
         count()
         if doc_type is not None:
-            parts = range(COUNTERS // _PART)
-            blobs = [zlib.compress(counts[p * _PART : (p + 1) * _PART].tobytes(), 1) for p in parts]
-            m = len(blobs)
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, doc_type), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64()), pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], names=names)
+            parts, blobs = counters.packed(counts)
+            m = len(parts)
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, doc_type), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64()), parts, blobs], names=names)
 
     return docs.select("text", "doc_id").mapInArrow(run, f"doc_id {kind}, cls binary, n long, part int, counts binary")
 
 
-def frequency_classes(parts: DataFrame, tasks: int) -> np.ndarray:
-    """The counters of all tasks, summed and put on a logarithmic scale of one byte: COUNTERS bytes.
-
-    They are summed in two steps, so that no group gets more than about the square root of ``tasks`` rows.
-    """
-
-    def add(pdf: pd.DataFrame) -> np.ndarray:
-        total = np.zeros(_PART, dtype=np.uint64)
-        for x in pdf["counts"]:
-            got = np.frombuffer(zlib.decompress(x), dtype=np.uint8)
-            total += got.view(np.uint64 if len(got) == 8 * _PART else np.uint32)
-        return total
-
-    def some(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "counts": [zlib.compress(add(pdf).tobytes(), 1)]})
-
-    def scaled(pdf: pd.DataFrame) -> pd.DataFrame:
-        scale = np.minimum(255, 6 * np.log2(1 + add(pdf).astype(np.float64))).astype(np.uint8)
-        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "scale": [scale.tobytes()]})
-
-    lots = max(1, math.isqrt(tasks))
-    dealt = parts.withColumn("_lot", F.pmod(F.xxhash64("counts"), F.lit(lots)))
-    first = dealt.groupBy("part", "_lot").applyInPandas(some, "part int, counts binary")
-    out = np.zeros(COUNTERS, dtype=np.uint8)
-    for r in first.groupBy("part").applyInPandas(scaled, "part int, scale binary").collect():  # COUNTERS / _PART rows
-        out[r["part"] * _PART : (r["part"] + 1) * _PART] = np.frombuffer(r["scale"], dtype=np.uint8)
-    return out
-
-
 _RECORD = np.dtype([("h", "<u8"), ("c", "<i8"), ("n", "<u4"), ("at", "<u4")])
 
 
@@ -269,13 +203,13 @@ def _block(r: np.ndarray, scale: np.ndarray, blocks: int, num: int, den: int, to
 
     The places of the latter get the bit _DEALT: such a column's postings come back whatever a block sees of them.
     """
-    lots = (np.exp2(scale[(r["h"] & _U(COUNTERS - 1)).astype(np.int64)] / 6.0) / together).astype(np.int64)
+    lots = (counters.counted(scale[cells(r["h"])]) / together).astype(np.int64)
     many = np.flatnonzero(lots)
     key = r["h"].copy()
     if len(many):
         band = (np.log(r["n"][many]) / math.log(den / num)).astype(np.uint64) if num < den else r["n"][many].astype(np.uint64)
-        lot = (_mix(r["c"][many].view(np.uint64)) % (lots[many] + 1).astype(np.uint64)) * _U(1 << 20) + band
-        key[many] = _mix(key[many] ^ (lot * _U(_BASE)))
+        lot = (mix(r["c"][many].view(np.uint64)) % (lots[many] + 1).astype(np.uint64)) * _U(1 << 20) + band
+        key[many] = mix(key[many] ^ (lot * _U(0x9E3779B97F4A7C15)))
         r["at"][many] |= _DEALT
     return (key % _U(blocks)).astype(np.int64)
 
@@ -309,7 +243,7 @@ def postings(docs: DataFrame, scale, blocks: int, k: int, num: int, den: int, to
                 continue
             seen.add(cls)
             p = n - -(-num * n // den) + 1
-            key = (order[(h & _U(COUNTERS - 1)).astype(np.int64)].astype(np.uint64) << _U(56)) | (h >> _U(8))
+            key = (order[cells(h)].astype(np.uint64) << _U(56)) | (h >> _U(8))
             first = np.argsort(key, kind="stable")[:p]
             r = np.empty(p, dtype=_RECORD)
             r["h"], r["c"], r["n"], r["at"] = h[first], _short(cls), n, np.arange(p)
@@ -553,7 +487,7 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, num: int = NUMERATOR, de
     tasks = docs.rdd.getNumPartitions()
     blocks = blocks or max(8, tasks * BLOCKS_PER_PARTITION)
     known = durable(read(docs, k))
-    scale = spark.sparkContext.broadcast(frequency_classes(known.where("part is not null").select("part", "counts"), tasks))
+    scale = spark.sparkContext.broadcast(counters.scale(known.where("part is not null").select("part", "counts"), tasks))
     rows = known.where("part is null").select("doc_id", "cls", "n")
     dealt = postings(docs, scale, blocks, k, num, den, together).repartition(blocks, "block")
     product = durable(multiply(dealt, num, den, few))

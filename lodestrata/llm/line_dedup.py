@@ -70,7 +70,8 @@ def boundaries(lines: list[str], every: int = EVERY) -> list[int]:
 
 def _row_key() -> Column:
     """16 bytes for a row, from its id and text: rows that repeat both share it, and are treated alike."""
-    return F.unhex(F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("text", F.lit("")))))
+    text = F.coalesce("text", F.lit(""))
+    return F.unhex(F.md5(F.concat_ws("|", F.length(text).cast("string"), text, F.coalesce(F.col("doc_id").cast("string"), F.lit("-")))))
 
 
 def chunks(docs: DataFrame, every: int | None = EVERY) -> DataFrame:

@@ -30,14 +30,14 @@ def test_whole_table(spark):
     assert sum(x[1] for x in want.values()) > 0
 
 
-@pytest.mark.parametrize(("k", "m"), [(5, 2), (8, 3), (7, 7)])
-def test_small_alphabet(spark, k, m):
+@pytest.mark.parametrize(("k", "m", "common"), [(5, 2, 20_000), (8, 3, 3), (7, 7, 0), (6, 2, 0)])
+def test_small_alphabet(spark, k, m, common):
     rng = random.Random(k)
     texts = [None, "", "   ", "a"] + [" ".join(rng.choice("abc") for _ in range(rng.randrange(0, 60))) for _ in range(40)]
     texts += [texts[7]] * 3 + ["x\ty\nz " * 30, "é ü " * 20]
     rows = [(i, t, "clash") for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, kept string").repartition(3)
-    got = sd.substring_dedup(docs, k, m, buckets=5).collect()
+    got = sd.substring_dedup(docs, k, m, buckets=5, common=common).collect()
     want = brute(texts, k)
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], hashlib.sha256(r["kept"].encode()).hexdigest()) for r in got} == dict(enumerate(want))
 
@@ -65,3 +65,22 @@ def test_runs_hash():
             assert by.setdefault(tuple(v[i : i + k]), h[i]) == h[i]
         assert len(set(by.values())) == len(by) and len(h) == len(v) - k + 1
         assert (sd.sliding_min(v, k) == [v[i : i + k].min() for i in range(len(v) - k + 1)]).all()
+
+
+def test_a_common_phrase_in_different_surroundings(spark):
+    """One run of six words in very many documents: exact, and no bucket is much larger than the others."""
+    phrase = "all rights reserved by the authors"
+    rng = random.Random(4)
+    texts = [" ".join([*(str(rng.randrange(10**6)) for _ in range(40)), phrase, *(str(rng.randrange(10**6)) for _ in range(40))]) for _ in range(3000)]
+    texts += [texts[5], "x " + texts[9][:400]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], hashlib.sha256(r["kept"].encode()).hexdigest()) for r in sd.substring_dedup(docs, common=100).collect()}
+    assert got == dict(enumerate(brute(texts, 35)))
+    rare = spark.sparkContext.broadcast(sd.common_runs(docs, 6, 100, 4))
+    load = [r["n"] for r in sd.packed(docs, 64, 35, 6, rare).selectExpr("bucket", "length(texts) as n").groupBy("bucket").sum("n").toDF("bucket", "n").collect()]
+    assert max(load) < 2 * sorted(load)[len(load) // 2]
+
+
+def test_merged():
+    doc, first, last = sd._merged(np.array([2, 0, 0, 2, 0]), np.array([5, 3, 0, 1, 9]), np.array([9, 6, 4, 5, 10]))
+    assert list(zip(doc.tolist(), first.tolist(), last.tolist(), strict=True)) == [(0, 0, 6), (0, 9, 10), (2, 1, 9)]
