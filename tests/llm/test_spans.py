@@ -1,6 +1,7 @@
 """Native spans against Python's re, over the whole documents table and awkward texts."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -85,15 +86,53 @@ def test_random_strings(spark):
 
 
 def test_disclosing_terms(spark):
-    rows = [(i, f"filler{i} Zorblat writes from boss@corp.example today") for i in range(4)]
-    rows += [(10 + i, f"today we write a letter number{i}") for i in range(60)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r for r in pii.find_pii(docs).collect()}
-    text = rows[0][1]
-    at = text.index("Zorblat")
-    assert f"term:{at}:{at + 7}" in got[0]["spans"]
-    assert f"term:{text.index('today')}:" not in got[0]["spans"]
-    assert got[12]["spans"] == ""
+    """Counts, decisions, spans and sanitised texts against a plain version, over a corpus where terms disclose in part."""
+    rng = random.Random(2)
+    people = [f"p{i}@corp.example" for i in range(6)]
+    names = ["Zorblat", "quibbin", "mirzok", "today", "letter", "office"]
+    texts = []
+    for i in range(300):
+        words = [rng.choice(names[3:] + [f"w{rng.randrange(40)}" for _ in range(6)]) for _ in range(rng.randrange(5, 30))]
+        if i % 4 == 0:
+            k = rng.randrange(6)
+            words.insert(rng.randrange(len(words)), people[k])
+            if k < 3 and rng.random() < 0.9:
+                words.insert(0, names[k])
+                words += ["filler"] * 30 + [names[k]]  # far from the entity
+        elif rng.random() < 0.02:
+            words.append("Quibbin")
+        texts.append(" ".join(words))
+    texts += [None, "", texts[0], "Zorblat alone", "p0@corp.example,p0@corp.example"]
+    text = [t or "" for t in texts]
+    of = [{m.group() for m in PII["email"][0].finditer(t)} for t in text]
+    said = [{w for w in re.split(r"[ \t-\r]+", t.lower()) if len(w) >= 3} for t in text]
+    n = len(texts)
+    count = lambda f: sum(map(f, range(n)))
+    bits = {}
+    for e in set().union(*of):
+        ne = count(lambda i: e in of[i])
+        for t in set().union(*(said[i] for i in range(n) if e in of[i])):
+            both, nt = count(lambda i: e in of[i] and t in said[i]), count(lambda i: t in said[i])
+            if both >= pii.SUPPORT and ne < n:
+                bits[e, t] = math.log2(both * n / (nt * ne)) / math.log2(n / ne)
+    got = {r["doc_id"]: r for r in pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    acts = set()
+    for i, t in enumerate(text):
+        base = [(m.start(), m.end(), "email") for m in PII["email"][0].finditer(t)]
+        terms = []
+        for m in re.finditer(r"[^ \t-\r]+", t):
+            most = max((bits.get((e, m.group().lower()), 0) for e in of[i]), default=0)
+            if most >= pii.GENERALISE and not any(a < m.end() and b > m.start() for a, b, _ in base):
+                terms.append((m.start(), m.end(), "remove" if most >= pii.REMOVE else "generalise"))
+        assert got[i]["spans"] == ",".join(f"{'email' if k == 'email' else 'term'}:{a}:{b}" for a, b, k in sorted(base + terms)), t
+        out, at = "", 0
+        for a, b, k in sorted(base + terms):
+            out, at = out + t[at:a] + {"email": "[EMAIL]", "generalise": "[TERM]", "remove": ""}[k], b
+        assert got[i]["sanitised"] == out + t[at:]
+        assert got[i]["n_removed"] + got[i]["n_generalised"] == len(terms)
+        acts |= {k for *_, k in terms}
+    assert acts == {"remove", "generalise"}
+    assert "term" not in got[n - 2]["spans"]
 
 
 def test_sanitise(spark):
@@ -101,3 +140,6 @@ def test_sanitise(spark):
     from pyspark.sql import functions as F
 
     assert df.select(pii.sanitise(F.col("t"), F.col("s"))).first()[0] == "é call [EMAIL] "
+    # spans that overlap go as one; nothing of the second is left
+    both = spark.sql("select 'tel 123456789 x' as t, array(struct(4 as start, 'card' as kind, 9 as end, '' as value), struct(6 as start, 'phone' as kind, 13 as end, '' as value)) as s, cast(null as string) as n")
+    assert both.select(pii.sanitise(F.col("t"), F.col("s")), pii.sanitise(F.col("n"), F.col("s")), pii.sanitise(F.col("t"), F.slice("s", 1, 0))).first()[:] == ("tel [CARD] x", None, "tel 123456789 x")
