@@ -1,11 +1,13 @@
 """Operator 1, secret scans: base patterns, and a randomness test battery with false-discovery control.
 
-Native: built-in functions only. Candidates for the battery are runs of token characters that mix letters and digits. Each
-is taken for the narrowest encoding that it fits (hexadecimal, base 32, base 64), and three tests compare it with that
-encoding's uniform random strings: chi-squared of the symbol counts, runs above and below the middle of the alphabet, and
-the lag-1 correlation of symbol values. Each test gives a p-value of non-randomness; Bonferroni's minimum joins them. The
-Benjamini-Hochberg rule, with every string counted by its length, says which candidates are not random; the rest, if long
-enough for the tests to have told, are reported as ``random`` spans.
+Native: built-in functions only. Candidates for the battery are runs of token characters, without what base spans cover.
+Each is taken for the narrowest encoding that it fits (hexadecimal, base 32, base 64), and four tests compare it with that
+encoding's uniform random strings: chi-squared of the symbol counts, the same of the counts in quarters of the alphabet,
+runs above and below the middle of the alphabet, and the lag-1 correlation of symbol values. Each test gives a p-value of
+non-randomness; Bonferroni's minimum joins them. The Benjamini-Hochberg rule, with every string counted by its length,
+says which candidates are not random; RATE bounds the share of random strings among those, not the share of others among
+the reported. The rest is reported as ``random`` if it is long enough for the tests to have told: if the plainest strings
+of its encoding (digits for hexadecimal, text in one case for the others) of that length would have been found out.
 """
 
 from __future__ import annotations
@@ -22,19 +24,21 @@ ASSIGN = r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["
 ASSIGN_VALUE = r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)$"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}+"
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}+"
+CANDIDATE = r"[A-Za-z0-9+_-]{20,}+"
+LEAST = 20
 KINDS = ["assign", "access", "hex", "random"]
 
-#: False-discovery rate of calling a string non-random; bins of -log10 p by which the rule is evaluated; longest string
-#: that the battery reads as one (longer ones are tested on their whole counts, by the same formulas).
-RATE = 0.2
+#: False-discovery rate of calling a string non-random; bins of -log10 p by which the rule is evaluated.
+RATE = 0.05
 BINS = 400
 PER_DECADE = 20
+#: Name, pattern, alphabet; and of the plainest strings the chance that two symbols agree, and that their quarters do.
 ENCODINGS = [
-    ("hex", r"^[0-9a-fA-F]+$", "0123456789abcdef"),
-    ("base32", r"^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
-    ("base64", r"", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
+    ("hex", r"^[0-9a-fA-F]+$", "0123456789abcdef", 0.1, 0.36),
+    ("base32", r"^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 0.065, 0.31),
+    ("base64", r"", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 0.065, 0.50),
 ]
+TESTS = 4
 
 
 def normal_tail(z: Column) -> Column:
@@ -52,47 +56,57 @@ def chi2_tail(x: Column, df: Column) -> Column:
     return normal_tail((F.pow(x / df, F.lit(1 / 3)) - (1 - v)) / F.sqrt(v))
 
 
+def _chi2(squares: Column, n: Column, cells: Column) -> Column:
+    """The chi-squared statistic of counts in equally likely cells, from the sum of their squares."""
+    return F.greatest(squares * cells / n - n, F.lit(0.0))
+
+
 def battery(candidates: DataFrame) -> DataFrame:
-    """Add ``encoding, p, n`` to rows with a ``value``: the smaller p, the less it looks like random symbols."""
+    """Add ``encoding, p, told, n`` to rows with a ``value``: the smaller p, the less it looks like random symbols.
+
+    ``told`` is the p that the encoding's plainest strings of ``n`` symbols would have on average.
+    """
     core = F.translate(F.rtrim("value", F.lit("=")), "-_", "+/")  # both base-64 alphabets are one
-    name, alphabet = F.lit(ENCODINGS[-1][0]), F.lit(ENCODINGS[-1][2])
-    for kind, pattern, symbols in reversed(ENCODINGS[:-1]):
-        fits = F.regexp_like(core, F.lit(pattern))
-        name, alphabet = F.when(fits, kind).otherwise(name), F.when(fits, symbols).otherwise(alphabet)
-    rows = candidates.withColumn("encoding", name).withColumn("alphabet", alphabet).withColumn("k", F.length("alphabet").cast("double"))
-    rows = rows.withColumn("symbols", F.split(F.when(F.col("encoding") == "hex", F.lower(core)).otherwise(core), ""))
-    rows = rows.withColumn("v", F.transform("symbols", lambda c: F.instr(F.col("alphabet"), c).cast("double") - (F.col("k") + 1) / 2))
+    pick = F.struct(*[F.lit(x).alias(c) for c, x in zip(("name", "symbols", "same", "near"), (ENCODINGS[-1][0], *ENCODINGS[-1][2:]), strict=True)])
+    for kind, pattern, *rest in reversed(ENCODINGS[:-1]):
+        one = F.struct(*[F.lit(x).alias(c) for c, x in zip(("name", "symbols", "same", "near"), (kind, *rest), strict=True)])
+        pick = F.when(F.regexp_like(core, F.lit(pattern)), one).otherwise(pick)
+    rows = candidates.withColumn("e", pick).withColumn("k", F.length("e.symbols").cast("double"))
+    rows = rows.withColumn("symbols", F.split(F.when(F.col("e.name") == "hex", F.lower(core)).otherwise(core), ""))
+    rows = rows.withColumn("v", F.transform("symbols", lambda c: F.instr(F.col("e.symbols"), c).cast("double") - (F.col("k") + 1) / 2))
     rows = rows.withColumn("n", F.size("v").cast("double"))
-    # runs and products of neighbours, and the symbols' counts, each in one pass over the string
-    start = F.struct(F.lit(0.0).alias("last"), F.lit(0.0).alias("high"), F.lit(1.0).alias("runs"), F.lit(0.0).alias("product"))
-    walk = F.aggregate(
-        "v",
-        start,
-        lambda a, x: F.struct(
-            x.alias("last"),
-            (a["high"] + (x > 0).cast("double")).alias("high"),
-            (a["runs"] + ((a["last"] != 0) & ((a["last"] > 0) != (x > 0))).cast("double")).alias("runs"),
-            (a["product"] + a["last"] * x).alias("product"),
-        ),
-    )
+    # runs, products of neighbours and counts of quarters in one pass over the string, and the symbols' counts in another
+    names = ("last", "high", "runs", "product", "q1", "q2", "q3")
+    start = F.struct(*[F.lit(1.0 if c == "runs" else 0.0).alias(c) for c in names])
+    one = lambda c: c.cast("double")
+
+    def step(a: Column, x: Column) -> Column:
+        quarter = F.floor((x + F.col("k") / 2) * 4 / F.col("k"))
+        new = (
+            x,
+            a["high"] + one(x > 0),
+            a["runs"] + one((a["last"] != 0) & ((a["last"] > 0) != (x > 0))),
+            a["product"] + a["last"] * x,
+            *[a[f"q{i}"] + one(quarter == i) for i in (1, 2, 3)],
+        )
+        return F.struct(*[y.alias(c) for c, y in zip(names, new, strict=True)])
+
     text = F.array_join("symbols", "")
     squares = F.aggregate(F.array_distinct("symbols"), F.lit(0.0), lambda a, c: a + F.pow(F.length(text) - F.length(F.replace(text, c, F.lit(""))), F.lit(2.0)))
-    rows = rows.withColumn("w", walk).withColumn("chi", squares * F.col("k") / F.col("n") - F.col("n"))
-    n, k, high = F.col("n"), F.col("k"), F.col("w")["high"]
+    rows = rows.withColumn("w", F.aggregate("v", start, step)).withColumn("squares", squares)
+    n, k, high, q = F.col("n"), F.col("k"), F.col("w.high"), [F.col(f"w.q{i}") for i in (1, 2, 3)]
+    quarters = sum((x * x for x in q), F.pow(n - q[0] - q[1] - q[2], F.lit(2.0)))
     rows = rows.withColumn("mean", 1 + 2 * high * (n - high) / n)
     spread = F.sqrt(F.greatest((F.col("mean") - 1) * (F.col("mean") - 2) / (n - 1), F.lit(1e-9)))
-    rows = rows.withColumn("z1", F.abs(F.col("w")["runs"] - F.col("mean")) / spread)
-    rows = rows.withColumn("z2", F.abs(F.col("w")["product"]) / (F.sqrt(n - 1) * ((k * k - 1) / 12)))
-    p_chi = chi2_tail(F.greatest("chi", F.lit(0.0)), k - 1)
+    rows = rows.withColumn("z1", F.abs(F.col("w.runs") - F.col("mean")) / spread)
+    rows = rows.withColumn("z2", F.abs(F.col("w.product")) / (F.sqrt(n - 1) * ((k * k - 1) / 12)))
+    four = F.lit(4.0)
+    p_chi = F.least(chi2_tail(_chi2(F.col("squares"), n, k), k - 1), chi2_tail(_chi2(quarters, n, four), four - 1))
     p_runs = F.when((high == 0) | (high == n), F.pow(F.lit(0.5), n - 1)).otherwise(2 * normal_tail(F.col("z1")))
-    p = F.least(F.lit(1.0), 3 * F.least(p_chi, p_runs, 2 * normal_tail(F.col("z2"))))
-    return rows.select(*candidates.columns, "encoding", p.alias("p"), "n")
-
-
-def _mixed(v: Column) -> Column:
-    """A candidate mixes letters and digits, has enough different symbols and isn't a path of plain words."""
-    digits = F.length(v) - F.length(F.translate(v, "0123456789", ""))
-    return (digits >= 3) & (F.length(F.regexp_replace(v, "[^A-Za-z]", "")) >= 3) & (F.length(F.rtrim(v, F.lit("="))) >= 20)
+    p = F.least(F.lit(1.0), TESTS * F.least(p_chi, p_runs, 2 * normal_tail(F.col("z2"))))
+    plain = lambda agree, cells: chi2_tail(_chi2(n + n * (n - 1) * agree, n, cells), cells - 1)
+    told = F.least(F.lit(1.0), TESTS * F.least(plain(F.col("e.same"), k), plain(F.col("e.near"), four)))
+    return rows.select(*candidates.columns, F.col("e.name").alias("encoding"), p.alias("p"), told.alias("told"), "n")
 
 
 def _bin(p: Column) -> Column:
@@ -119,9 +133,9 @@ def scan(docs: DataFrame, rate: float = RATE) -> DataFrame:
     """``doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans`` of every document.
 
     Base spans are the matches of the three patterns that pass their length rules; ``random`` spans are added where the
-    battery finds a random string that no base span touches. Positions are code points, ends exclusive. A null text
-    counts as empty and has no spans; null and repeated ids pass through, extra columns are ignored, an empty table
-    gives an empty result.
+    battery finds a random string of LEAST or more code points outside all base spans. Positions are code points, ends
+    exclusive. A null text counts as empty and has no spans; null and repeated ids pass through, extra columns are
+    ignored, an empty table gives an empty result.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     value = lambda m: F.regexp_extract(m, ASSIGN_VALUE, 1)
@@ -130,14 +144,13 @@ def scan(docs: DataFrame, rate: float = RATE) -> DataFrame:
         matches(text, ACCESS, "access", lambda m: F.length(m) >= 20),
         matches(text, HEX, "hex", lambda m: F.length(m) >= 24),
     )
-    more = matches(text, CANDIDATE, "random", _mixed)
+    more = matches(text, CANDIDATE, "random", lambda m: F.lit(True))
     found = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", ordered(base, KINDS).alias("base"), more.alias("more"))
     found = durable(found)
-    free = F.filter("more", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (b["end"] > m["start"])))
-    strings = found.where(F.size("more") > 0).select("rid", F.explode(free).alias("s"))
-    tested = durable(battery(strings.select("rid", "s", F.col("s.value").alias("value"))).select("rid", "s", "encoding", "p", "n"))
+    strings = found.where(F.size("more") > 0).select("rid", F.explode(F.flatten(F.transform("more", _outside))).alias("s"))
+    tested = durable(battery(strings.select("rid", "s", F.col("s.value").alias("value"))).select("rid", "s", "encoding", "p", "told", "n"))
     cut = threshold(tested, rate)
-    random = tested.where(_bin(F.col("p")) < cut).groupBy("rid").agg(F.collect_list("s").alias("extra"))
+    random = tested.where((_bin(F.col("p")) < cut) & (_bin(F.col("told")) >= cut)).groupBy("rid").agg(F.collect_list("s").alias("extra"))
     out = found.join(random, "rid", "left").withColumn("extra", F.coalesce("extra", F.slice("base", 1, 0)))
     return out.select(
         "doc_id",
@@ -148,6 +161,16 @@ def scan(docs: DataFrame, rate: float = RATE) -> DataFrame:
     )
 
 
+def _outside(c: Column) -> Column:
+    """The parts of a candidate between the base spans that touch it, of LEAST code points or more."""
+    over = F.filter("base", lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"]))
+    starts = F.concat(F.array(c["start"]), F.transform(over, lambda b: b["end"]))
+    ends = F.concat(F.transform(over, lambda b: b["start"]), F.array(c["end"]))
+    parts = F.zip_with(starts, ends, lambda a, z: F.struct(a.alias("start"), F.lit("random").alias("kind"), z.alias("end"), F.substring(c["value"], a - c["start"] + 1, z - a).alias("value")))
+    # spans may lie within each other; what still overlaps one is none
+    return F.filter(parts, lambda p: (p["end"] - p["start"] >= LEAST) & ~F.exists(over, lambda b: (b["start"] < p["end"]) & (b["end"] > p["start"])))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in all documents."""
     return scan(table(spark, sf_dir, "documents"))

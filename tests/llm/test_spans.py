@@ -72,17 +72,78 @@ def test_edges(spark, scan):
     assert scan(rows).count() == 4
 
 
-def test_random_strings(spark):
-    import random
+B64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+
+
+def plain_battery(value):
+    """The four tests of one string, written out."""
+    core = value.rstrip("=").replace("-", "+").replace("_", "/")
+    if re.fullmatch("[0-9a-fA-F]+", core):
+        name, alphabet, core = "hex", "0123456789abcdef", core.lower()
+    elif re.fullmatch("[A-Z2-7]+", core):
+        name, alphabet = "base32", B64[:26] + "234567"
+    else:
+        name, alphabet = "base64", B64
+    k, n, at = len(alphabet), len(core), [alphabet.index(c) for c in core]
+    tail = lambda z: 0.5 * math.erfc(z / math.sqrt(2))
+    chi = lambda counts, cells: max(0.0, sum(c * c for c in counts) * cells / n - n)
+    chi_tail = lambda x, df: tail(((x / df) ** (1 / 3) - 1 + 2 / (9 * df)) / math.sqrt(2 / (9 * df)))
+    v = [a - (k - 1) / 2 for a in at]
+    high = sum(x > 0 for x in v)
+    runs, mean = 1 + sum((a > 0) != (b > 0) for a, b in zip(v, v[1:])), 1 + 2 * high * (n - high) / n
+    p_runs = 0.5 ** (n - 1) if high in (0, n) else 2 * tail(abs(runs - mean) / math.sqrt(max((mean - 1) * (mean - 2) / (n - 1), 1e-9)))
+    p_lag = 2 * tail(abs(sum(a * b for a, b in zip(v, v[1:]))) / (math.sqrt(n - 1) * (k * k - 1) / 12))
+    p_chi = chi_tail(chi([at.count(i) for i in range(k)], k), k - 1), chi_tail(chi([sum(4 * a // k == i for a in at) for i in range(4)], 4), 3)
+    return name, min(1.0, 4 * min(*p_chi, p_runs, p_lag)), n
+
+
+def test_battery(spark):
+    rng = random.Random(7)
+    values = ["".join(rng.choices(a, k=rng.randrange(20, 90))) for a in (B64, B64, B64[:26] + "234567", "0123456789abcdef", "0123456789", "ab", B64[26:52]) for _ in range(30)]
+    values += ["a" * 20, "0" * 25, "ab" * 500, "-" * 30, "_" * 30, "ABCDEF" * 5]
+    df = spark.createDataFrame([(v,) for v in values], "value string")
+    for r in secrets.battery(df).collect():
+        name, p, n = plain_battery(r["value"])
+        assert (r["encoding"], r["n"]) == (name, n)
+        assert math.isclose(r["p"], p, rel_tol=1e-3, abs_tol=1e-6), (r, p)
+
+
+def test_threshold(spark):
+    """The rule on the histogram is the weighted rule on the p-values, taken at their bins' edges."""
+    rng = random.Random(3)
+    rows = [(rng.random() ** rng.choice([1, 12]), float(rng.randrange(20, 60))) for _ in range(500)]
+    edge = lambda p: 10 ** (-int(-math.log10(p) * secrets.PER_DECADE) / secrets.PER_DECADE)
+    total, cut = sum(n for _, n in rows), None
+    for p in sorted({edge(p) for p, _ in rows}):
+        if p <= 0.05 * sum(n for q, n in rows if edge(q) <= p) / total:
+            cut = p
+    got = secrets.threshold(spark.createDataFrame(rows, "p double, n double"), 0.05)
+    assert math.isclose(10 ** (-got / secrets.PER_DECADE), cut)
+
 
+def test_random_strings(spark):
+    """Random strings of 20 and more are found, in URLs and beside base spans too; plain ones aren't."""
     rng = random.Random(1)
-    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
-    keys = ["".join(rng.choices(b64, k=40)) for _ in range(30)]
-    dull = ["ab12" * 10, "a" * 30 + "123", "0000000000000abc00000000", "thethethethethe123thethethe"]
-    rows = [(i, f"see {t} here") for i, t in enumerate(keys + dull)]
-    got = {r["doc_id"]: r["n_random"] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert sum(got[i] for i in range(30)) >= 26
-    assert all(got[30 + i] == 0 for i in range(len(dull)))
+    words = "over the counter intelligence business development of international relations and some other departments".split()
+    found = {}
+    rows, dull = [], []
+    for size in (20, 24, 32, 40):
+        for _ in range(60):
+            rows.append((len(rows), f"see {''.join(rng.choices(B64[:62], k=size))} here", size))
+    for _ in range(120):
+        dull += ["_".join(rng.choices(words, k=4)), "".join(w.title() for w in rng.choices(words, k=4)), "-".join(rng.choices(words, k=3)) + str(rng.randrange(100)), "".join(rng.choices("0123456789", k=20))]
+    dull += ["ab12" * 10, "a" * 30 + "123", "0000000000000abc00000000", "-" * 40]
+    rows += [(len(rows) + i, f"see {t} here", 0) for i, t in enumerate(dull)]
+    key = "".join(rng.choices(B64[:62], k=40))
+    rows += [(len(rows), f"https://x.example/some/path/{key}?q=other-{'x' * 30}", -1), (len(rows) + 1, f"token=abcdefgh,{'0123456789abcdef' * 2}Z{key}", -1)]
+    got = {r["doc_id"]: r for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, size int").drop("size")).collect()}
+    for i, _, size in rows:
+        found.setdefault(size, []).append(got[i]["n_random"])
+    assert all(sum(found[size]) >= 0.85 * len(found[size]) for size in (20, 24, 32, 40)), {k: sum(v) / len(v) for k, v in found.items()}
+    assert sum(found[0]) <= 0.02 * len(found[0])
+    url, beside = rows[-2][1], rows[-1][1]
+    assert f"random:{url.index(key)}:{url.index(key) + 40}" in got[rows[-2][0]]["spans"]
+    assert f"random:{beside.index(key) - 1}:{beside.index(key) + 40}" in got[rows[-1][0]]["spans"]
 
 
 def test_disclosing_terms(spark):
