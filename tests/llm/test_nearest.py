@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pytest
 
 from lodestrata.llm import nearest as nn
 
@@ -57,12 +58,34 @@ def test_few_rows(spark):
     assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got] == [(0, 1, 1, 4.0)]
 
 
-def test_search_finds_every_code_within_the_radius():
+def retrieved(x, c, q, qc, radius):
+    out = []
+    for j in range(c.shape[1]):
+        i, at, _ = nn.search(x, c, q, qc, j, radius, 10_000)
+        out += zip(i.tolist(), at.tolist(), strict=True)
+    assert len(out) == len(set(out))  # each by one substring only
+    return set(out)
+
+
+@pytest.mark.parametrize("size", [8, 16, 40])
+def test_search_finds_every_code_within_the_radius(size):
     rng = np.random.default_rng(3)
-    x = rng.normal(size=(600, 16))
+    x = rng.normal(size=(600, size))
     mean, p = nn.learn(x)
     c = nn.encode(x, mean, p)
-    for radius in (0, 3, 7, 12, 32):
-        q, at, _ = nn.search(x, c, x[:20], c[:20], radius, 10_000)
-        want = {(i, j) for i in range(20) for j in range(600) if np.unpackbits(c[i] ^ c[j]).sum() <= radius}
-        assert set(zip(q.tolist(), at.tolist(), strict=True)) == want
+    for radius in (0, 1, 3, 7, 12, 2 * size):
+        want = {(i, j) for i in range(20) for j in range(600) if np.bitwise_count(c[i] ^ c[j]).sum() <= radius}
+        assert retrieved(x, c, x[:20], c[:20], radius) == want
+
+
+def test_extra_columns_and_one_hot_vector(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [1.0, 0.0, 0.0] if i % 3 else rng.normal(size=3).tolist(), "o", 1) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>, o string, rank int")
+    got = {}
+    for r in sorted(nn.nearest(docs).collect(), key=lambda r: (r["query_id"], r["rank"])):
+        got.setdefault(r["query_id"], []).append(r["score"])
+    want = brute([r[:2] for r in rows])
+    assert got.keys() == want.keys()
+    same = sum(np.isclose(got[q], [s for _, s in want[q]]).all() for q in want)
+    assert all(len(v) == 20 for v in got.values()) and same >= 0.9 * len(want)

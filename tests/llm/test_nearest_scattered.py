@@ -20,13 +20,3 @@ def test_scattered_queries_get_k_rows(spark):
         assert [f[0] for f in found] == list(range(1, 21)) and q not in {f[1] for f in found}
         assert all(np.isclose(s, x[q] @ x[v]) for _, v, s in found)
         assert [f[2] for f in found] == sorted((f[2] for f in found), reverse=True)
-
-
-def test_posting_lists_hold_what_a_scan_finds():
-    rng = np.random.default_rng(9)
-    x = rng.normal(size=(500, 8))
-    c = nn.encode(x, *nn.learn(x))
-    for radius in range(0, 17):
-        q, at, _ = nn.search(x, c, x[:10], c[:10], radius, 10_000)
-        want = {(i, j) for i in range(10) for j in range(500) if np.unpackbits(c[i] ^ c[j]).sum() <= radius}
-        assert set(zip(q.tolist(), at.tolist(), strict=True)) == want
