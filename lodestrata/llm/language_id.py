@@ -3,6 +3,10 @@
 Features are byte trigrams of the lower-cased text, hashed to DIMENSIONS bins. Document frequencies come from all training
 rows; the centroids are fitted by spherical k-means on at most SAMPLE training rows a language, those with the smallest
 hashes of their ids. What reaches every task is DIMENSIONS weights and CENTROIDS vectors a language.
+
+A document is rejected when its best cosine lies too far below those of the training rows of that language and about that
+length: cosines of all training rows are counted by language, length and value, and the cut is SLACK times the QUANTILE of
+the lengths around the document's own.
 """
 
 from __future__ import annotations
@@ -23,8 +27,12 @@ DIMENSIONS = 4096
 CENTROIDS = 3
 #: Training rows a language that the centroids are fitted on, at most.
 SAMPLE = 400
-#: A document is rejected when its best cosine is below SLACK times what 999 of 1000 of that language's sample rows reach.
-SLACK = 0.25
+#: Lengths (their numbers of binary digits) are pooled until they have ENOUGH rows.
+SLACK = 0.8
+QUANTILE = 0.001
+ENOUGH = 100
+LENGTHS = 32
+BINS = 1000
 _BYTES = 1 << 20
 
 
@@ -39,8 +47,11 @@ def _blocks(texts: list[str]) -> Iterator[tuple[int, np.ndarray]]:
             hi += 1
         b = np.frombuffer(b"".join(data[lo:hi]), dtype=np.uint8).astype(np.uint32)
         codes = (b[:-2] | b[1:-1] << 8 | b[2:] << 16) * np.uint32(2654435761) >> np.uint32(20)
-        owner = np.repeat(np.arange(hi - lo, dtype=np.int64) * DIMENSIONS, [len(x) for x in data[lo:hi]])[:-2]
-        cells = np.bincount(owner + codes, minlength=(hi - lo) * DIMENSIONS)
+        size = np.array([len(x) for x in data[lo:hi]])
+        owner = np.repeat(np.arange(hi - lo, dtype=np.int64) * DIMENSIONS, size)
+        own = np.ones(len(b), dtype=bool)  # the last two places of a text begin no trigram of it
+        own[np.cumsum(size) - 1] = own[np.cumsum(size) - 2] = False
+        cells = np.bincount(owner[own] + codes[own[:-2]], minlength=(hi - lo) * DIMENSIONS)
         yield lo, cells.reshape(hi - lo, DIMENSIONS)
         lo = hi
 
@@ -100,17 +111,60 @@ def fit(training: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.concatenate([_vectors(c, idf) for _, c in _blocks(list(pdf["text"]))])
         c = _cluster(x, centroids)
-        near = (x @ c.T).max(axis=1)
-        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "centroid": list(c.astype(np.float32)), "low": float(np.quantile(near, 0.001))})
+        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "centroid": list(c.astype(np.float32))})
 
-    found = chosen.groupBy("lang").applyInPandas(train, "lang string, centroid array<float>, low double").collect()
+    found = chosen.groupBy("lang").applyInPandas(train, "lang string, centroid array<float>").collect()
     found = sorted(found, key=lambda r: r["lang"])
-    return {
+    model = {
         "idf": idf,
         "langs": [r["lang"] for r in found],
-        "low": np.array([r["low"] for r in found]),
         "centroids": np.array([r["centroid"] for r in found], dtype=np.float32).reshape(len(found), DIMENSIONS),
     }
+    return model | {"low": cuts(rows, model)}
+
+
+def cuts(rows: DataFrame, model: dict) -> np.ndarray:
+    """For each centroid and length, the QUANTILE of the best cosines of all rows that are nearest to their own language.
+
+    Rows of all centroids of a language count together, and of shorter texts as well, until they are ENOUGH; of longer ones
+    only where there are none as short. Shorter texts have lower cosines, so this errs on the side of keeping.
+    """
+    langs, c = model["langs"], model["centroids"]
+    names = sorted(set(langs))
+    of = np.array([names.index(x) for x in langs], dtype=np.int64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(names), LENGTHS, BINS + 1), dtype=np.int64)
+        for batch in batches:
+            texts, own = batch.column(0).to_pylist(), np.array([names.index(x) for x in batch.column(1).to_pylist()])
+            for lo, counts in _blocks(texts):
+                near = _vectors(counts, model["idf"]) @ c.T
+                best, cosine, length = of[near.argmax(axis=1)], np.clip(near.max(axis=1), 0, 1), _lengths(texts[lo : lo + len(near)])
+                ok = best == own[lo : lo + len(near)]
+                np.add.at(total, (best[ok], length[ok], (cosine[ok] * BINS).astype(int)), 1)
+        at = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in at), pa.array(total[at])], names=["lang", "length", "bin", "n"])
+
+    seen = np.zeros((len(names), LENGTHS, BINS + 1), dtype=np.int64)
+    if names:
+        counted = rows.select("text", "lang").mapInArrow(count, "lang long, length long, bin long, n long")
+        for r in counted.groupBy("lang", "length", "bin").agg(F.sum("n").alias("n")).collect():  # a row a cell, at most
+            seen[r["lang"], r["length"], r["bin"]] = r["n"]
+    low = np.zeros((len(names), LENGTHS))
+    for i in range(len(names)):
+        for k in range(LENGTHS):
+            lo, hi = k, k + 1
+            while lo and seen[i, lo:hi].sum() < ENOUGH:
+                lo -= 1
+            while hi < LENGTHS and not seen[i, lo:hi].any():
+                hi += 1
+            run = np.cumsum(seen[i, lo:hi].sum(axis=0))
+            low[i, k] = np.searchsorted(run, QUANTILE * run[-1], side="right") / BINS if run[-1] else 0.0
+    return low[of] if len(of) else low
+
+
+def _lengths(texts: list[str]) -> np.ndarray:
+    return np.array([min(len(t).bit_length(), LENGTHS - 1) for t in texts], dtype=np.int64)
 
 
 def predict(docs: DataFrame, model: dict, slack: float = SLACK) -> DataFrame:
@@ -135,7 +189,7 @@ def predict(docs: DataFrame, model: dict, slack: float = SLACK) -> DataFrame:
                 best, rows = near.argmax(axis=1), at[lo : lo + len(near)]
                 pred[rows] = best
                 score[rows] = np.clip(near[np.arange(len(near)), best], 0, 1)
-                out[rows] = score[rows] < low[best]
+                out[rows] = score[rows] < low[best, _lengths([texts[i] for i in rows])]
             columns = [batch.column(i) for i in range(letters)]
             columns += [pa.array([langs[p] if p >= 0 else "und" for p in pred], pa.string()), pa.array(score), pa.array(out)]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
