@@ -127,7 +127,8 @@ def cuts(rows: DataFrame, model: dict) -> np.ndarray:
     """For each centroid and length, the QUANTILE of the best cosines of all rows that are nearest to their own language.
 
     Rows of all centroids of a language count together, and of shorter texts as well, until they are ENOUGH; of longer ones
-    only where there are none as short. Shorter texts have lower cosines, so this errs on the side of keeping.
+    only where there are none as short. Shorter texts have lower cosines, so this errs on the side of keeping; so does half
+    the value where there aren't ENOUGH at all.
     """
     langs, c = model["langs"], model["centroids"]
     names = sorted(set(langs))
@@ -159,7 +160,8 @@ def cuts(rows: DataFrame, model: dict) -> np.ndarray:
             while hi < LENGTHS and not seen[i, lo:hi].any():
                 hi += 1
             run = np.cumsum(seen[i, lo:hi].sum(axis=0))
-            low[i, k] = np.searchsorted(run, QUANTILE * run[-1], side="right") / BINS if run[-1] else 0.0
+            value = np.searchsorted(run, QUANTILE * run[-1], side="right") / BINS if run[-1] else 0.0
+            low[i, k] = value if run[-1] >= ENOUGH else value / 2
     return low[of] if len(of) else low
 
 
