@@ -33,6 +33,7 @@ def test_rules(spark):
 
 
 def test_junk_and_unseen_languages_are_rejected(spark):
+    """Texts of some hundred characters and more; shorter ones of the learned languages score as low as anything."""
     rng = random.Random(5)
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang")
     b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
@@ -43,7 +44,7 @@ def test_junk_and_unseen_languages_are_rejected(spark):
         " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(200)),
         "Litwo, ojczyzno moja! ty jesteś jak zdrowie; ile cię trzeba cenić, ten tylko się dowie, kto cię stracił. Dziś piękność twą w całej ozdobie widzę i opisuję, bo tęsknię po tobie.",
         "Mieleni minun tekevi, aivoni ajattelevi lähteäni laulamahan, saa'ani sanelemahan, sukuvirttä suoltamahan, lajivirttä laulamahan. Sanat suussani sulavat, puhe'et putoelevat, kielelleni kerkiävät, hampahilleni hajoovat. Veli kulta, veikkoseni, kaunis kasvinkumppalini! Lähe nyt kanssa laulamahan, saa kera sanelemahan yhtehen yhyttyämme, kahta'alta käytyämme!",
-        "Я помню чудное мгновенье: передо мной явилась ты, как мимолетное виденье, как гений чистой красоты.",
+        "Я помню чудное мгновенье: передо мной явилась ты, как мимолетное виденье, как гений чистой красоты. В томленьях грусти безнадежной, в тревогах шумной суеты, звучал мне долго голос нежный и снились милые черты. Шли годы. Бурь порыв мятежный рассеял прежние мечты, и я забыл твой голос нежный, твои небесные черты.",
         "<td><tr><div><br/></div></tr></td>" * 30,
     ]
     more = spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(odd)], docs.schema)
