@@ -1,4 +1,8 @@
-"""A training corpus from raw documents: five stages, each an operator of lodestrata.llm over all that its predecessor kept."""
+"""A training corpus from raw documents: five stages, each an operator of lodestrata.llm over all that its predecessor kept.
+
+For all stages: an empty table gives an empty result, columns other than those of documents are ignored, texts are taken
+whole however long. What each does with null texts, null or repeated ids and ties is said there.
+"""
 
 from __future__ import annotations
 
@@ -14,14 +18,21 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: documents that it rejects go; ``lang`` becomes the predicted language."""
+    """Language ID: documents that it rejects go; ``lang`` becomes the predicted language.
+
+    Null texts and texts without letters are rejected; repeated rows and ids are judged one by one; a null ``lang`` isn't
+    learned from.
+    """
     common.prepare(spark)
     found = language_id.identify(docs.select(*COLUMNS)).where(~F.col("rejected"))
     return found.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Line dedup: repeated runs of two lines or more go from the texts; a document that loses all its lines goes."""
+    """Line dedup: repeated runs of two lines or more go from the texts; a document that loses all its lines goes.
+
+    The smallest id keeps a run, null ids come last, and rows that share the smallest id all keep it. A null text stays null.
+    """
     common.prepare(spark)
     left = line_dedup.run_dedup(docs.select(*COLUMNS))
     left = left.where((F.col("n_removed") == 0) | F.col("text").rlike(common.WORD))
@@ -30,18 +41,28 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join: of each group of near duplicates the document with the smallest id stays."""
+    """N-gram Jaccard join: of each group of near duplicates the document with the smallest id stays.
+
+    Of rows that repeat that id one stays; groups of null ids only stay whole; documents without words are no duplicates.
+    """
     common.prepare(spark)
     return jaccard_join.near_dedup(docs.select(*COLUMNS))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixing: a row for every copy that the mixture takes, in training order."""
+    """Mixing: a row for every copy that the mixture takes, in training order.
+
+    Null sources are one source; documents without words, null texts among them, are never taken; equal positions are
+    ordered by copy and id.
+    """
     return mixing.curriculum(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Best-fit packing: a row for every piece, with its sequence and offset."""
+    """Best-fit packing: a row for every piece, with its sequence and offset.
+
+    A null text is an empty one, of one token; repeated rows and null ids are documents of their own.
+    """
     common.prepare(spark)
     return packing.pack_documents(docs)
 
