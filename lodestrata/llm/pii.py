@@ -81,7 +81,7 @@ def cooccurring(rows: DataFrame, total: int) -> DataFrame:
     terms = rows.where("text is not null").select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("nt"))
     terms = terms.where((F.col("nt") >= SUPPORT) & (F.col("nt") <= bound(F.lit(float(most))) + 1e-6))
     theirs = held.groupBy("rid").agg(F.collect_list(F.struct("entity", "ne")).alias("es"))
-    spoken = durable(rows.join(theirs, "rid").select("rid", "es", F.explode(words).alias("term")).select("rid", "es", "term"))
+    spoken = durable(rows.where(F.size("base") > 0).join(theirs, "rid").select("rid", "es", F.explode(words).alias("term")).select("rid", "es", "term"))
     met = join_counted(spoken, terms, "term", "nt", spoken.count()).where("nt is not null")
     met = met.select("rid", "term", "nt", F.explode("es").alias("e")).select("rid", "e.entity", "e.ne", "term", "nt")
     return met.where(F.col("nt") <= bound(F.col("ne")) + 1e-6)
@@ -100,7 +100,10 @@ _NO_SPANS = "array<struct<start:int,kind:string,end:int,value:string>>"
 
 
 def _flagged(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``extra``: spans of disclosing terms that touch no base span; value says "remove" or "generalise"."""
+    """``rows`` with ``extra``: spans of disclosing terms that touch no base span; value says "remove" or "generalise".
+
+    Only rows with base spans are shuffled with their texts; the others have no entity and stay where they are.
+    """
     total = rows.count()
     met = durable(cooccurring(rows, total).withColumn("pair", _pair(F.col("entity"), F.col("term"))))
     found = durable(disclosing(met, total))
@@ -110,8 +113,10 @@ def _flagged(rows: DataFrame) -> DataFrame:
     spans = matches(F.col("text"), WORD, "term", lambda m: F.map_contains_key("acts", F.lower(m)))
     spans = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.element_at("acts", F.lower(s["value"])).alias("value")))
     spans = F.filter(spans, lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (b["end"] > t["start"])))
-    extra = durable(rows.where(F.size("base") > 0).join(acts, "rid").select("rid", spans.alias("extra")))
-    return rows.join(extra, "rid", "left").withColumn("extra", F.coalesce("extra", F.array().cast(_NO_SPANS)))
+    none = F.array().cast(_NO_SPANS)
+    own = rows.where(F.size("base") > 0).repartition(rows.rdd.getNumPartitions(), "rid")
+    extra = own.join(acts, "rid", "left").withColumn("extra", F.when(F.col("acts").isNull(), none).otherwise(spans)).drop("acts")
+    return rows.where(F.size("base") == 0).withColumn("extra", none).unionByName(extra)
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
