@@ -175,11 +175,15 @@ def cap_overlap_check(spark, d):
     return rnd(rnd(overlap_check(c.select("ticker", "date", "cap"), c.select("ticker", "date", F.col("price").alias("cap"))), "iqr"), "ratio", digits=4)
 
 
-@query("usd_peg", _with(V.CAPS, "SELECT ticker FROM caps GROUP BY 1 HAVING avg(abs(price / 140000.0::DOUBLE - 1)) < 0.2"))
+@query("usd_peg", """
+WITH x AS (SELECT p_size AS ticker, date_trunc('week', l_shipdate) AS w, 1 + sum(round(l_discount * 100)::BIGINT) / (100.0::DOUBLE * count(*)) - 0.05::DOUBLE AS price FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)
+SELECT ticker FROM x GROUP BY 1 HAVING avg((abs(price - 1) <= 0.03::DOUBLE)::INT) >= 0.9""")
 def usd_peg(spark, d):
     from ..sources.reference import pegged
 
-    return pegged(V.caps(spark, d).withColumn("price", F.col("price") / 140000.0), 0.2)
+    items = V.read(spark, d, "lineitem").join(V.read(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    weeks = items.groupBy(F.col("p_size").alias("ticker"), F.date_trunc("week", "l_shipdate").alias("w"))
+    return pegged(weeks.agg((1 + F.sum(F.round(F.col("l_discount") * 100).cast("long")) / (100.0 * F.count("*")) - 0.05).alias("price")))
 
 
 @query("id_map", "WITH r AS (SELECT p_type AS ticker, p_partkey AS id, row_number() OVER (PARTITION BY p_type ORDER BY p_retailprice DESC, p_partkey) AS k, count(*) OVER (PARTITION BY p_type) AS n FROM part) SELECT ticker, id, n > 1 AS by_rule FROM r WHERE k = 1")

@@ -31,9 +31,10 @@ def overlap_check(a: DataFrame, b: DataFrame) -> DataFrame:
     return j.groupBy("ticker").agg(F.count("*").alias("n"), q.alias("q")).select("ticker", "n", F.exp(F.col("q")[1]).alias("ratio"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"))
 
 
-def pegged(prices: DataFrame, tolerance: float) -> DataFrame:
-    """Tickers whose price stays near 1."""
-    return prices.groupBy("ticker").agg(F.avg(F.abs(F.col("price") - 1)).alias("off")).where(F.col("off") < tolerance).select("ticker")
+def pegged(prices: DataFrame, band: float = 0.03, share: float = 0.9) -> DataFrame:
+    """Tickers whose price is within ``band`` of 1 on ``share`` of their rows or more; a missing price isn't."""
+    near = F.coalesce(F.abs(F.col("price") - 1) <= band, F.lit(False)).cast("double")
+    return prices.groupBy("ticker").agg(F.avg(near).alias("near")).where(F.col("near") >= share).select("ticker")
 
 
 def largest_id(rows: DataFrame) -> DataFrame:
