@@ -1,16 +1,20 @@
-"""Queries of grouped kernels. SQL can't express most; tests hold them against identities."""
+"""Queries of grouped kernels and pair moments. Where SQL can't express them, tests hold them against plain versions."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..functions import windows as W
+from ..operators import books as B
 from ..operators import futures as U
 from ..operators import inference as I
 from ..operators import kernels as K
+from ..operators import ledger as L
+from ..operators import moments as M
 from . import views as V
 
 QUERIES = {}
+ORACLES = {}
 
 
 def query(f):
@@ -23,34 +27,88 @@ def _panel(spark, d):
     return p.withColumn("vol", W.rolling(F.stddev_samp, F.col("ret"), 26, 13)).withColumn("market", F.lit(1.0))
 
 
+#: Days from book to book, days that a book looks back, and the share of them that an asset needs.
+EVERY, SPAN, SHARE = 28, 364, 0.4
+
+WINDOWS = f"""days AS (
+  SELECT unnest(generate_series((SELECT min(date) FROM panel), (SELECT max(date) FROM panel) + INTERVAL {EVERY} DAY, INTERVAL 1 DAY))::DATE AS cutoff
+), ends AS (
+  SELECT cutoff FROM days WHERE date_diff('day', DATE '1970-01-01', cutoff) % {EVERY} = 0 AND cutoff - {SPAN} >= (SELECT min(date) FROM panel)
+), w AS (
+  SELECT cutoff, date, asset, coalesce(ret, 0) AS ret FROM ends JOIN panel ON date < cutoff AND date >= cutoff - {SPAN}
+  QUALIFY count(ret) OVER (PARTITION BY cutoff, asset) >= {SHARE} * count(*) OVER (PARTITION BY cutoff, asset)
+), x AS (
+  SELECT cutoff, date, asset, ret - avg(ret) OVER (PARTITION BY cutoff, asset) AS x, row_number() OVER (PARTITION BY cutoff, asset ORDER BY date DESC) - 1 AS age FROM w
+), pairs AS (
+  SELECT a.cutoff AS cutoff, a.asset AS a, b.asset AS b, count(*) AS n, sum(a.x * b.x) AS s, sum((a.x * b.x) ** 2) AS q,
+    sum(a.x * b.x * 0.5::DOUBLE ** (a.age / 30.0::DOUBLE)) AS e
+  FROM x a JOIN x b ON a.cutoff = b.cutoff AND a.date = b.date AND a.asset <= b.asset GROUP BY 1, 2, 3)"""
+
+SHRUNK = """whole AS (
+  SELECT cutoff, avg(s / n) FILTER (a = b) AS mu, count(*) FILTER (a = b) AS width, sum(CASE WHEN a = b THEN 1 ELSE 2 END * (s / n) ** 2) AS norm,
+    sum(CASE WHEN a = b THEN 1 ELSE 2 END * q / n) AS fourth
+  FROM pairs GROUP BY 1
+), share AS (
+  SELECT cutoff, mu, CASE WHEN norm - width * mu * mu > 1e-12::DOUBLE * norm THEN least((fourth - norm) / (norm - width * mu * mu) / n, 1) ELSE 1 END AS d
+  FROM whole JOIN (SELECT cutoff, min(n) AS n FROM pairs GROUP BY 1) USING (cutoff)
+)"""
+
+
+def _windows(spark, d):
+    return M.trailing(V.panel(spark, d).select("date", "asset", "ret"), EVERY, SPAN, share=SHARE)
+
+
+def _cov(spark, d, method):
+    return M.covariance(_windows(spark, d), method, "cutoff").withColumn("cov", F.round("cov", 7))
+
+
+@query
+def cov_sample(spark, d):
+    return _cov(spark, d, "sample")
+
+
 @query
 def cov_ledoit_wolf(spark, d):
-    return K.covariance(_panel(spark, d), "lw", "strategy")
+    return _cov(spark, d, "lw")
 
 
 @query
 def cov_denoised(spark, d):
-    return K.covariance(_panel(spark, d), "denoised", "strategy")
+    return _cov(spark, d, "denoised")
 
 
 @query
 def cov_ewma(spark, d):
-    return K.covariance(_panel(spark, d), "ewma", "strategy")
+    return _cov(spark, d, "ewma")
+
+
+ORACLES |= {
+    "cov_sample": f"WITH {V.PANEL}, {WINDOWS} SELECT cutoff, a, b, round(s / (n - 1), 7) AS cov FROM pairs",
+    "cov_ledoit_wolf": f"WITH {V.PANEL}, {WINDOWS}, {SHRUNK} SELECT cutoff, a, b, round(d * CASE WHEN a = b THEN mu ELSE 0 END + (1 - d) * s / n, 7) AS cov FROM pairs JOIN share USING (cutoff)",
+    "cov_ewma": f"WITH {V.PANEL}, {WINDOWS} SELECT cutoff, a, b, round(0.5::DOUBLE ** (n / 30.0::DOUBLE) * s / (n - 1) + (1 - 0.5::DOUBLE ** (1 / 30.0::DOUBLE)) * e, 7) AS cov FROM pairs",
+}
+
+
+def _books(spark, d, method):
+    """Each book's alphas are the last momentum before it."""
+    alphas = M.trailing(V.panel(spark, d).select("date", "asset", "mom"), EVERY, SPAN, "mom", 0.0)
+    alphas = alphas.groupBy("cutoff", "asset").agg(F.max_by("mom", "date").alias("alpha"))
+    return B.books(M.covariance(_windows(spark, d), "lw", "cutoff"), alphas, method, "cutoff")
 
 
 @query
 def book_min_variance(spark, d):
-    return K.books(_panel(spark, d), "min_variance", "strategy")
+    return _books(spark, d, "min_variance")
 
 
 @query
 def book_mean_variance(spark, d):
-    return K.books(_panel(spark, d), "mean_variance", "strategy")
+    return _books(spark, d, "mean_variance")
 
 
 @query
 def book_hierarchical(spark, d):
-    return K.books(_panel(spark, d), "hrp", "strategy")
+    return _books(spark, d, "hrp")
 
 
 @query
@@ -76,7 +134,13 @@ def risk_model_fit(spark, d):
 
 @query
 def backtest_daily(spark, d):
-    return K.backtest(_panel(spark, d).withColumn("weight", F.col("weight") * 0.5), "strategy")
+    """A sweep of 32 strategies: the panel's weights up to eight rows late, at four sizes."""
+    p = V.panel(spark, d).select("date", "asset", "close", "weight", "funding")
+    late = [F.struct(F.lit(n).alias("late"), F.lag("weight", n).over(W.series()).alias("w")) for n in range(1, 9)]
+    p = p.withColumn("_v", F.array(*late)).withColumn("_v", F.explode("_v")).withColumn("_size", F.explode(F.array(*map(F.lit, (0.5, 1.0, 2.0, 4.0)))))
+    p = p.withColumn("strategy", F.format_string("late%d size%.1f", "_v.late", "_size"))
+    p = p.withColumn("weight", F.when(F.col("close").isNotNull(), F.col("_v.w") * F.col("_size")))
+    return L.backtest(p, "strategy", L.Rules(cash=100_000.0, margin=0.1, fee=0.0005, band=0.02, least=10.0))
 
 
 def futures_bars(spark, d):

@@ -6,7 +6,10 @@ import os
 import duckdb
 import pytest
 
-from lodestrata.plans import catalogue
+from lodestrata.plans import catalogue, kernel_queries
+
+QUERIES = catalogue.QUERIES | {n: kernel_queries.QUERIES[n] for n in kernel_queries.ORACLES}
+ORACLES = catalogue.ORACLES | kernel_queries.ORACLES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -34,12 +37,12 @@ def close(a, b):
     return a == b or isinstance(a, float) and isinstance(b, float) and math.isclose(a, b, rel_tol=1e-4, abs_tol=2e-5)
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_against_sql(spark, sf_dir, db, name):
-    df = catalogue.QUERIES[name](spark, sf_dir)
+    df = QUERIES[name](spark, sf_dir)
     columns = sorted(df.columns)
     got = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=lambda r: tuple((x is None, str(round(x, 1)) if isinstance(x, float) else str(x)) for x in r))
-    cur = db.execute(catalogue.ORACLES[name])
+    cur = db.execute(ORACLES[name])
     names = [x[0] for x in cur.description]
     assert sorted(names) == columns
     want = sorted((tuple(plain(r[names.index(c)]) for c in columns) for r in cur.fetchall()), key=lambda r: tuple((x is None, str(round(x, 1)) if isinstance(x, float) else str(x)) for x in r))

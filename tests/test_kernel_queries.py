@@ -1,9 +1,7 @@
-"""Every query without SQL runs on the smallest tables and gives rows of the schema it declares, without clashing columns."""
+"""Every grouped query runs on the smallest tables and gives rows of the schema it declares, without clashing columns."""
 
-import numpy as np
 import pytest
 
-from lodestrata.operators import kernels
 from lodestrata.plans import kernel_queries
 
 
@@ -22,17 +20,3 @@ def test_futures_curve_follows_the_fronts(spark, sf_dir):
             if not b["roll"]:
                 assert abs(b["ret_front"] - (b["front_px"] / a["front_px"] - 1)) < 1e-9
     assert all(r["second"] is None or r["second"] > r["front"] for r in rows)
-
-
-@pytest.mark.parametrize("method", ["sample", "lw", "denoised", "ewma"])
-def test_covariance_of_too_few_dates_is_null(spark, method):
-    df = spark.createDataFrame([("s", "2024-01-01", a, r) for a, r in (("x", 0.1), ("y", 0.2), ("z", 0.3))], "strategy string, date string, asset string, ret double")
-    rows = kernels.covariance(df, method, "strategy").collect()
-    assert len(rows) == 6 and all(r["cov"] is None for r in rows)
-
-
-def test_denoising_a_constant_leaves_it_uncorrelated():
-    x = np.random.default_rng(0).normal(size=(50, 3))
-    x[:, 1] = 0.5
-    c = kernels.denoise(x)
-    assert np.isfinite(c).all() and not c[1].any()

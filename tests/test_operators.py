@@ -35,21 +35,6 @@ def test_regression_residuals_are_orthogonal(panel):
     assert len(by) == 120 and all(abs(sum(v)) < 1e-9 for v in by.values())
 
 
-@pytest.mark.parametrize("method", ["sample", "lw", "denoised", "ewma"])
-def test_covariances_are_positive(panel, method):
-    c = np.zeros((5, 5))
-    for r in K.covariance(panel, method, "strategy").collect():
-        i, j = int(r["a"][1]), int(r["b"][1])
-        c[i, j] = c[j, i] = r["cov"]
-    assert (np.linalg.eigvalsh(c) > 0).all()
-
-
-@pytest.mark.parametrize("method", ["min_variance", "mean_variance", "hrp"])
-def test_books_keep_their_caps(panel, method):
-    w = [r["weight"] for r in K.books(panel, method, "strategy").collect()]
-    assert len(w) == 5 and sum(map(abs, w)) <= 1 + 1e-9 and max(map(abs, w)) <= 0.25 + 1e-9
-
-
 def test_recursions(panel):
     v = {(r["asset"], r["date"]): r["variance"] for r in K.ewma_variance(panel, 10).collect()}
     assert len(v) == 600 and min(v.values()) > 0
@@ -61,19 +46,6 @@ def test_recursions(panel):
     assert K.local_level(panel, 1.0, 4.0).where("level is null").count() == 0
 
 
-def test_backtest_conserves_money(panel):
-    rows = K.backtest(panel, "strategy").collect()
-    day = {}
-    for r in rows:
-        x = day.setdefault(r["date"], {"pnl": 0.0, "fee": 0.0, "equity": r["equity"]})
-        x["pnl"] += r["pnl"]
-        x["fee"] += r["commission"]
-    equity = 100_000.0
-    for d in sorted(day):
-        equity += day[d]["pnl"] - day[d]["fee"]
-        assert math.isclose(equity, day[d]["equity"], rel_tol=1e-9)
-
-
 def test_scalars(spark):
     z = [-9.0, -3.0, -0.5, 0.0, 1.0, 2.5, 8.0]
     got = [r[0] for r in spark.createDataFrame([(x,) for x in z], "z double").select(S.normal_cdf(F.col("z"))).collect()]
