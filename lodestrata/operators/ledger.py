@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 
 LEDGER = "position double, value double, trade double, commission double, funding double, pnl double, cash double, margin double, equity double, margin_call boolean, reduced boolean"
 
+COLUMNS = [c.split()[0] for c in LEDGER.split(", ")]
+
 #: Sold beyond a margin call's shortfall, and the share of affordable margin that a reduced book takes.
 CALL_EXCESS, AFFORDABLE = 1.05, 0.95
 
@@ -121,17 +123,16 @@ def run_ledger(prices: pd.DataFrame, weights: pd.DataFrame, rates: pd.DataFrame,
     for date, price, weight, rate, fill in zip(prices.index, *(f.to_numpy(float) for f in (prices, weights, rates, fills)), strict=True):
         gone = np.isnan(price) & (account.units != 0)
         account, pnl, funding = accrue(account, price, rate)
-        account, sold, called = call(account, r)
+        account, sold, _ = call(account, r)
         need = r.margin * gross(account.units, account.marks)
         fill = np.where(np.isnan(fill), account.marks, fill)
         account, trade, fees, reduced = rebalance(account, weight, fill, gone, lot, need, r)
         fees = fees + r.fee * np.abs(np.where(sold != 0, sold * account.marks, 0.0))
         margin = r.margin * gross(account.units, account.marks)
         value = np.where(account.units == 0, 0.0, account.units * account.marks)
-        day = {"position": account.units, "value": value, "trade": trade - sold, "commission": fees, "funding": funding, "pnl": pnl}
-        whole = {"cash": account.equity - margin, "margin": margin, "equity": account.equity, "margin_call": bool((sold != 0).any()), "reduced": bool(reduced)}
-        out.append(pd.DataFrame({"date": date, "asset": names, **day, **whole}))
-    return pd.concat(out)
+        out.append(np.broadcast_arrays(account.units, value, trade - sold, fees, funding, pnl, account.equity - margin, margin, account.equity, (sold != 0).any(), reduced))
+    columns = [np.concatenate(c) for c in zip(*out, strict=True)]
+    return pd.DataFrame({"date": np.repeat(prices.index, len(names)), "asset": np.tile(names, len(prices)), **dict(zip(COLUMNS, columns, strict=True))})
 
 
 def backtest(panel: DataFrame, key: str, rules: Rules | None = None, fill: str = "close") -> DataFrame:
@@ -147,6 +148,6 @@ def backtest(panel: DataFrame, key: str, rules: Rules | None = None, fill: str =
         wide = (pdf.pivot(index="date", columns="asset", values=v).sort_index() for v in ("close", "weight", "funding", "_fill"))
         return run_ledger(*wide, rules).assign(**{key: pdf[key].iloc[0]})[names]
 
-    names = [key, "date", "asset", *[c.split()[0] for c in LEDGER.split(", ")]]
+    names = [key, "date", "asset", *COLUMNS]
     rows = panel.select(key, "date", "asset", "close", "weight", "funding", panel[fill].alias("_fill"))
     return rows.groupBy(key).applyInPandas(run, f"{key} {dict(panel.dtypes)[key]}, date date, asset string, {LEDGER}")
