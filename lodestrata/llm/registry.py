@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, language_id, line_dedup, mixing, nearest, packing, pii, secrets, substring_dedup
+from . import exact_dedup, filter_audit, jaccard_join, language_id, line_dedup, mixing, nearest, packing, pii, secrets, simhash, substring_dedup, token_alignment
 
-MODULES = (secrets, substring_dedup, nearest, packing, mixing, exact_dedup, pii, line_dedup, jaccard_join, language_id)
+MODULES = (secrets, substring_dedup, nearest, packing, mixing, exact_dedup, pii, line_dedup, jaccard_join, language_id, token_alignment, filter_audit, simhash)
 
 
 def queries() -> dict:
