@@ -15,7 +15,9 @@ many links are at most HOT many, so they are broadcast, and documents meet the o
 
 from __future__ import annotations
 
+import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +37,8 @@ HOT = 100_000
 REMEMBERED, LONG = 400_000, 64
 #: Transitions a worker remembers.
 TRANSITIONS = 2_000_000
-#: Documents, and characters of groups, that are returned at a time.
-_ROWS, _CHARACTERS = 100, 1 << 22
+#: Documents, and characters of texts, that are taken at a time.
+_ROWS, _CHARACTERS = 200, 1 << 20
 #: White space to Python includes all that is white space to either tokenizer, and this one is in old tables.
 _CUT = re.compile(r"(?<=[^\s\u180e])(?= [^\s\u180e])")
 _EDGE = re.compile(r"[\s\u180e]")
@@ -85,53 +87,50 @@ class Transducer:
         self.size += 1
         return number
 
-    def align(self, a: list[int], b: list[int]) -> tuple[list[int], list[tuple[int, int]]] | None:
-        """Links as a * SHIFT + b, in order, and where groups end (tokens of A, tokens of B so far); None if bytes differ.
+    def align(self, a: list[int], b: list[int]) -> tuple[list[int], str] | None:
+        """Links as a * SHIFT + b, in order, and groups as text ``a1,a2|b1;a3|b2,b3``; None if bytes differ.
 
         Tokens without bytes aren't expected.
         """
         if self.size > TRANSITIONS:
             self.clear()
+        states, moves = self.states, self.moves
         links: list[int] = []
-        ends: list[tuple[int, int]] = []
-        i = j = state = last = 0
+        groups: list[str] = []
+        i = j = p = q = 0
         n, m = len(a), len(b)
-        while True:
-            if not state:
-                if i or j:
-                    ends.append((i, j))
-                if i == n:
-                    return (links, ends) if j == m else None
-                token = last = a[i]
-                i += 1
-            elif self.states[state][0] == A:
-                if j == m:
-                    return None
-                token = b[j]
-                j += 1
-                links.append(last * SHIFT + token)
-            else:
-                if i == n:
-                    return None
-                token = a[i]
-                i += 1
-                links.append(token * SHIFT + last)
-            before = self.states[state][0] if state else -1
-            move = self.moves[state].get(token)
-            state = self._move(state, token) if move is None else move
+        while i < n:
+            last = a[i]
+            i += 1
+            state = moves[0].get(last)
+            if state is None:
+                state = self._move(0, last)
+            side = A
+            while state > 0:
+                if side == A:
+                    if j == m:
+                        return None
+                    token = b[j]
+                    j += 1
+                    links.append(last * SHIFT + token)
+                else:
+                    if i == n:
+                        return None
+                    token = a[i]
+                    i += 1
+                    links.append(token * SHIFT + last)
+                after = moves[state].get(token)
+                state = self._move(state, token) if after is None else after
+                if state > 0 and states[state][0] != side:  # the token is the longer one and leads now
+                    side, last = 1 - side, token
             if state < 0:
                 return None
-            if state and before >= 0 and self.states[state][0] != before:
-                last = token
-
-
-def grouped(a: list[int], b: list[int], ends: list[tuple[int, int]]) -> str:
-    """Groups as text: ``a1,a2|b1;a3|b2,b3``."""
-    out, i, j = [], 0, 0
-    for p, q in ends:
-        out.append(",".join(map(str, a[i:p])) + "|" + ",".join(map(str, b[j:q])))
-        i, j = p, q
-    return ";".join(out)
+            if i - p == 1 and j - q == 1:
+                groups.append(f"{a[p]}|{b[q]}")
+            else:
+                groups.append(",".join(map(str, a[p:i])) + "|" + ",".join(map(str, b[q:j])))
+            p, q = i, j
+        return (links, ";".join(groups)) if j == m else None
 
 
 class Tokenizers:
@@ -141,6 +140,7 @@ class Tokenizers:
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.a = Tokenizer.from_file(first)
         self.a.encode_special_tokens = True
         self.b = SentencePieceProcessor(model_file=second)
@@ -155,56 +155,47 @@ class Tokenizers:
         self.apart = not any(_SPACE in p.lstrip(_SPACE) for p in pieces)
         self.spelled = (spelled, other)
         self.transducer = Transducer(self.spelled)
-        self.words = _Words(self)
-
-    def part(self, text: str) -> tuple[bytes, str, int] | None:
-        """``links, groups, tokens of A`` of a text that begins with a space; None if the tokens spell something else."""
-        a = self.a.encode(text, add_special_tokens=False).ids
-        b = self.b.encode(text[1:])
-        data = text.encode()
-        for ids, spelled in ((a, self.spelled[A]), (b, self.spelled[B])):
-            if b"".join([spelled[x] for x in ids]) != data:
-                return None
-        links, ends = self.transducer.align(a, b)
-        return np.array(links, dtype="<i8").tobytes(), grouped(a, b, ends), len(a)
-
-    def text(self, text: str) -> tuple[bytes, str, int] | None:
-        """The same of a whole text, without the space that is put before it."""
+        self.words: dict[str, tuple[bytes, str, int]] = {}
+
+    def parts(self, parts: list[str]) -> Iterator[tuple[bytes, str, int] | None]:
+        """``links, groups, tokens of A`` of texts that begin with a space; None if the tokens spell something else."""
+        spelled = self.spelled[A]
+        firsts = self.a.encode_batch_fast(parts, add_special_tokens=False)
+        seconds = self.b.encode([x[1:] for x in parts], num_threads=1)
+        for part, first, second in zip(parts, firsts, seconds, strict=True):
+            ids = first.ids
+            # what A spells is compared with the text, and what B spells with A
+            got = self.transducer.align(ids, second) if b"".join([spelled[x] for x in ids]) == part.encode() else None
+            yield got and (array("q", got[0]).tobytes(), got[1], len(ids))
+
+    def texts(self, texts: list[str]) -> list[tuple[bytes, str, int] | None]:
+        """The same of whole texts, without the space that is put before them."""
+        if not self.apart:
+            return list(self.parts([" " + t for t in texts]))
         words = self.words
         if len(words) > REMEMBERED:
             words.clear()
-        if self.apart:
-            got = list(map(words.__getitem__, text.split(" ")))
-            if None in got:  # more white space than single spaces between words
-                got = [words.known(" " + x if not k else x) for k, x in enumerate(_CUT.split(text))]
-            if None not in got:
+        cut = [t.split(" ") for t in texts]
+        missing = set().union(*cut).difference(words)
+        odd = {w for w in missing if not w or _EDGE.match(w[0]) or _EDGE.match(w[-1])}
+        if odd:  # more white space than single spaces between words: such texts are cut only where it is a single one
+            for k, t in enumerate(texts):
+                if not odd.isdisjoint(cut[k]):
+                    first, *others = _CUT.split(t)
+                    cut[k] = [first, *[x[1:] for x in others]]
+            missing = set().union(*cut).difference(words)
+        new = list(missing)
+        once: dict[str, tuple[bytes, str, int] | None] = {}
+        for word, got in zip(new, self.parts([" " + w for w in new]), strict=True):
+            (once if got is None or len(word) > LONG else words)[word] = got
+        out = []
+        for k, stretches in enumerate(cut):
+            got = [words[w] if w in words else once[w] for w in stretches] if once else list(map(words.__getitem__, stretches))
+            if None in got:
+                out += self.parts([" " + texts[k]])
+            else:
                 links, groups, n = zip(*got, strict=True)
-                return b"".join(links), ";".join(groups), sum(n)
-        return self.part(" " + text)
-
-
-class _Words(dict):
-    """``Tokenizers.part`` of a space and a word; None for words that can't stand alone."""
-
-    def __init__(self, of: Tokenizers):
-        super().__init__()
-        self.of = of
-
-    def __missing__(self, word: str):
-        if not word or _EDGE.match(word[0]) or _EDGE.match(word[-1]):
-            return None
-        return self.known(" " + word)
-
-    def known(self, part: str):
-        """The same of any stretch that begins with a space and that both tokenizers cut off."""
-        key = part[1:]
-        if len(part) > LONG or not key or _EDGE.match(key[0]) or _EDGE.match(key[-1]):
-            return self.of.part(part)
-        if key in self:
-            return self[key]
-        out = self.of.part(part)
-        if out is not None:
-            self[key] = out
+                out.append((b"".join(links), ";".join(groups), sum(n)))
         return out
 
 
@@ -226,41 +217,31 @@ def align(docs: DataFrame, first: str, second: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _tokenizers(first, second)
         for batch in batches:
-            doc_type = batch.schema.field(1).type
             texts = batch.column(2)
-            rows: list[tuple] = []
-            pairs, times, size = [], [], 0
-            begin = 0
-
-            def made(end: int) -> pa.RecordBatch:
+            lo = 0
+            while lo < batch.num_rows:
+                some: list[str] = []
+                size = 0
+                while lo + len(some) < batch.num_rows and len(some) < _ROWS and (not some or size < _CHARACTERS):
+                    some.append(texts[lo + len(some)].as_py() or "")
+                    size += len(some[-1])
+                hi = lo + len(some)
+                found = iter(own.texts([t for t in some if t]))
+                rows, pairs, times = [], [], []
+                for got in (next(found) if t else None for t in some):
+                    links, groups, n_a = got or (b"", "", 0)
+                    x, often = np.unique(np.frombuffer(links, dtype=np.int64), return_counts=True)
+                    n_groups, n_links = groups.count(";") + 1 if groups else 0, len(links) // 8
+                    rows.append((groups, n_a, n_links + n_groups - n_a, n_groups, n_links))
+                    pairs.append(x)
+                    times.append(often)
                 columns = list(zip(*rows, strict=True))
                 cuts = np.cumsum([0, *map(len, pairs)]).astype(np.int32)
-                return pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(begin, end - begin), batch.column(1).slice(begin, end - begin).cast(doc_type), pa.array(columns[0], pa.string())]
-                    + [pa.array(c, pa.int64()) for c in columns[1:]]
-                    + [pa.ListArray.from_arrays(cuts, np.concatenate(pairs)), pa.ListArray.from_arrays(cuts, np.concatenate(times))],
-                    names=names,
-                )
-
-            for k in range(batch.num_rows):
-                text = texts[k].as_py()
-                got = own.text(text) if text else None
-                if got is None:
-                    rows.append(("", 0, 0, 0, 0))
-                    found, often = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-                else:
-                    links, groups, n_a = got
-                    found, often = np.unique(np.frombuffer(links, dtype="<i8"), return_counts=True)
-                    n_groups, n_links = groups.count(";") + 1, len(links) // 8
-                    rows.append((groups, n_a, n_links + n_groups - n_a, n_groups, n_links))
-                    size += len(groups)
-                pairs.append(found)
-                times.append(often)
-                if len(rows) == _ROWS or size > _CHARACTERS:
-                    yield made(k + 1)
-                    rows, pairs, times, size, begin = [], [], [], 0, k + 1
-            if rows:
-                yield made(batch.num_rows)
+                out = [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(columns[0], pa.string())]
+                out += [pa.array(c, pa.int64()) for c in columns[1:]]
+                out += [pa.ListArray.from_arrays(cuts, np.concatenate(x)) for x in (pairs, times)]
+                yield pa.RecordBatch.from_arrays(out, names=names)
+                lo = hi
 
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     schema = f"row long, doc_id {kind}, groups string, n_a long, n_b long, n_groups long, n_links long, pairs array<long>, times array<long>"
