@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scan
+
 
 def find_gaps(rows: DataFrame, step: str, key: str = "asset", ts: str = "ts") -> DataFrame:
     """``key, gap_start, gap_end, n_missing``: runs of grid slots between a key's first and last row that hold none."""
@@ -16,25 +18,31 @@ def find_gaps(rows: DataFrame, step: str, key: str = "asset", ts: str = "ts") ->
     return missing.withColumn("run", run).groupBy(key, "run").agg(F.min(ts).alias("gap_start"), F.max(ts).alias("gap_end"), F.count("*").alias("n_missing")).drop("run")
 
 
-def event_gaps(rows: DataFrame, key: str = "asset", ts: str = "ts", around: int = 51, least: int = 5, factor: float = 2.5) -> DataFrame:
+def event_gaps(rows: DataFrame, key: str = "asset", ts: str = "ts", around: int = 51, least: int = 5, factor: float = 2.5, tasks: int | None = None) -> DataFrame:
     """Gaps of data without a grid: spacings above ``factor`` times the median spacing around them.
 
     The median is over ``around`` rows, centred; where it has fewer than ``least`` it is the next one that has enough,
-    or the last.
+    or the last. A key of any size is spread over tasks; rows of equal time keep one order, rows without time are left out.
     """
-    w = Window.partitionBy(key).orderBy(ts)
     s = F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
-    d = rows.withColumn("_s", s).withColumn("prev", F.lag(ts).over(w)).withColumn("d", F.col("_s") - F.lag("_s").over(w))
-    near = w.rowsBetween(-(around // 2), around // 2)
+    rows = scan.numbered(rows.where(F.col(ts).isNotNull()).withColumn("_s", s), [key], [ts], "_i", tasks)
+    # chunks of a key's rows, each with the rows that the frames of its first and last row reach
+    half = around // 2
+    rows = scan.halo(rows, "_i", max(scan.CHUNK, half + 1), half + 1, half)
+    w = Window.partitionBy(key, "_chunk").orderBy("_i")
+    d = rows.withColumn("prev", F.lag(ts).over(w)).withColumn("d", F.col("_s") - F.lag("_s").over(w))
+    near = w.rowsBetween(-half, half)
     # the frame's spacings, ``around`` at most, sorted: far cheaper than an exact percentile built anew for each row
     d = d.withColumn("_f", F.array_sort(F.collect_list("d").over(near))).withColumn("_n", F.size("_f"))
     middle = lambda i: F.get("_f", i.cast("int"))
     med = (middle(F.floor((F.col("_n") - 1) / 2)) + middle(F.floor(F.col("_n") / 2))) / 2
-    d = d.withColumn("med", F.when(F.col("_n") >= least, med)).drop("_f", "_n")
-    # the next one that has enough, seen from the end: a frame to the end would be built anew for each row
-    ahead = Window.partitionBy(key).orderBy(F.desc(ts)).rowsBetween(Window.unboundedPreceding, 0)
-    behind = w.rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("med", F.coalesce(F.last("med", ignorenulls=True).over(ahead), F.last("med", ignorenulls=True).over(behind)))
+    d = d.withColumn("med", F.when(F.col("_n") >= least, med)).where("_own").drop("_f", "_n")
+    if least > half:  # else the rows at a key's ends have enough, too, or none of its rows has
+        # frames grow towards the middle, so rows without enough are before the first one that has, or after the last
+        known = d.where("med is not null").groupBy(F.col(key).alias("_k"))
+        ends = known.agg(F.min("_i").alias("_lo"), F.min_by("med", "_i").alias("_head"), F.max_by("med", "_i").alias("_tail"))
+        d = d.join(ends, F.col(key).eqNullSafe(F.col("_k")), "left")
+        d = d.withColumn("med", F.coalesce("med", F.when(F.col("_i") < F.col("_lo"), F.col("_head")).otherwise(F.col("_tail"))))
     hit = d.where((F.col("med") > 0) & (F.col("d") > factor * F.col("med")))
     return hit.select(key, F.col("prev").alias("gap_start"), F.col(ts).alias("gap_end"), (F.round(F.col("d") / F.col("med")) - 1).cast("long").alias("n_missing"))
 

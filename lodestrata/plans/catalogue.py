@@ -17,6 +17,7 @@ from ..operators import risk as R
 from ..operators import universe as U
 from ..operators import weights as T
 from ..operators.grid import asof_join, densify, islands, range_join
+from ..sources import shared, versioned
 from . import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,6 +73,22 @@ def sink_upsert_latest(spark, d):
     return merge_latest(e.where("event_id % 3 <> 0"), e.where("event_id % 5 = 0").withColumn("value", F.col("value") * 2), ["user_id", "event_type"], ["event_id"])
 
 
+@query("sink_versioned", """
+WITH b AS (SELECT 1 AS batch, event_type, user_id, event_id, value FROM events WHERE event_id % 3 = 0
+  UNION ALL SELECT 2, event_type, user_id, event_id, value * 2 FROM events WHERE event_id % 5 = 0 AND event_type < 'p'
+  UNION ALL SELECT 3, event_type, user_id, event_id, value + 1 FROM events WHERE event_id % 7 = 0),
+v AS (SELECT unnest([1, 2, 3]) AS version), r AS (SELECT version, b.*, row_number() OVER (PARTITION BY version, event_type, user_id ORDER BY batch DESC, event_id DESC) AS k FROM v JOIN b ON batch <= version)
+SELECT version, event_type, count(*) AS n, sum(event_id)::BIGINT AS ids, round(sum(value), 4) AS value FROM r WHERE k = 1 GROUP BY 1, 2""")
+def sink_versioned(spark, d):
+    """Three commits to a versioned table, and what each of its versions holds."""
+    e, path = V.ticks(spark, d).select("event_type", "user_id", "event_id", "value"), shared.fresh(spark)
+    batches = (e.where("event_id % 3 = 0"), e.where("event_id % 5 = 0 and event_type < 'p'").withColumn("value", F.col("value") * 2), e.where("event_id % 7 = 0").withColumn("value", F.col("value") + 1))
+    made = [versioned.upsert(spark, path, b, ["event_type"], ["user_id"], ["event_id"]) for b in batches]
+    held = [versioned.read(spark, path, version=v).withColumn("version", F.lit(i)) for i, v in enumerate(made, 1)]
+    out = held[0].unionByName(held[1]).unionByName(held[2]).groupBy("version", "event_type")
+    return rnd(out.agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"), F.sum("value").alias("value")), "value", digits=4)
+
+
 @query("gaps_grid", """
 WITH t AS (SELECT DISTINCT event_type AS asset, date_trunc('minute', ts) AS ts FROM events WHERE event_id % 4 <> 0), e AS (SELECT asset, min(ts) lo, max(ts) hi FROM t GROUP BY 1),
 g AS (SELECT asset, unnest(generate_series(lo, hi, INTERVAL 1 MINUTE)) AS ts FROM e), n AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY ts) - 1 AS i FROM g),

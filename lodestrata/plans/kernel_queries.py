@@ -113,7 +113,14 @@ def book_hierarchical(spark, d):
 
 @query
 def vol_ewma(spark, d):
-    return K.ewma_variance(_panel(spark, d), 10)
+    return K.ewma_variance(_panel(spark, d), 10).withColumn("variance", F.round("variance", 9))
+
+
+# weights are put as powers that fall from the first row on, so that a running sum serves
+ORACLES["vol_ewma"] = f"""WITH {V.PANEL}, seen AS (
+  SELECT date, asset, ret, count(ret) OVER w AS n, var_pop(ret) OVER (PARTITION BY asset) AS v FROM panel WINDOW w AS (PARTITION BY asset ORDER BY date)
+)
+SELECT date, asset, round(0.5::DOUBLE ** (n / 10.0::DOUBLE) * (v + (1 - 0.5::DOUBLE ** 0.1::DOUBLE) * coalesce(sum(ret * ret * 2.0::DOUBLE ** (n / 10.0::DOUBLE)) OVER (PARTITION BY asset ORDER BY date), 0)), 9) AS variance FROM seen"""
 
 
 @query

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.windows import clean
+from . import versioned
+from .versioned import merge_latest as merge_latest
 
 PARTITIONS = ("exchange", "asset", "year")
 
@@ -18,48 +20,33 @@ PARTITIONS = ("exchange", "asset", "year")
 def scan(spark: SparkSession, path: str, assets: list[str] | None = None, exchange: str | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
     """Rows of a dataset by venue, asset and time; NaN becomes null.
 
-    A bare end date holds through its day, an end with a time is exclusive. The year predicate that follows from the
-    times prunes partitions.
+    A bare end date holds through its day, an end with a time is exclusive. Venue, assets, and the years that follow from
+    the times, prune partitions. The dataset is a versioned one, of which the latest version is read, or plain folders.
     """
-    df = spark.read.option("mergeSchema", "true").parquet(path)
+    parts = F.lit(True)
     if exchange:
-        df = df.where(F.col("exchange") == exchange)
+        parts &= F.col("exchange") == exchange
     if assets:
-        df = df.where(F.col("asset").isin(assets))
+        parts &= F.col("asset").isin(assets)
     if start:
-        df = df.where((F.col("ts") >= F.lit(start).cast("timestamp")) & (F.col("year") >= int(start[:4])))
+        parts &= F.col("year") >= int(start[:4])
+    if end:
+        parts &= F.col("year") <= int(end[:4])
+    df = versioned.read(spark, path, parts) if versioned.versions(spark, path) else spark.read.option("mergeSchema", "true").parquet(path).where(parts)
+    if start:
+        df = df.where(F.col("ts") >= F.lit(start).cast("timestamp"))
     if end:
         stop = F.lit(end).cast("timestamp")
-        df = df.where((F.col("ts") < (stop + F.expr("interval 1 day") if re.fullmatch(r"\d{4}-\d\d-\d\d", end) else stop)) & (F.col("year") <= int(end[:4])))
+        df = df.where(F.col("ts") < (stop + F.expr("interval 1 day") if re.fullmatch(r"\d{4}-\d\d-\d\d", end) else stop))
     return df.withColumns({f.name: clean(F.col(f.name)) for f in df.schema if f.dataType.typeName() in ("double", "float")})
 
 
-def merge_latest(old: DataFrame, new: DataFrame, key: list[str], order: list[str] = ()) -> DataFrame:
-    """Union in which, for each key, new rows win over old ones, and later (by ``order``) over earlier."""
-    both = old.withColumn("_s", F.lit(0)).unionByName(new.withColumn("_s", F.lit(1)), allowMissingColumns=True)
-    k = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("_s"), *[F.desc(c) for c in order]))
-    return both.withColumn("_k", k).where("_k = 1").drop("_s", "_k")
-
-
-def upsert(spark: SparkSession, path: str, new: DataFrame, key: tuple[str, ...] = ("ts",)) -> None:
-    """Merge rows into the partitions they touch and overwrite those; also duplicates inside ``new`` are dropped.
+def upsert(spark: SparkSession, path: str, new: DataFrame, key: tuple[str, ...] = ("ts",)) -> int:
+    """Merge rows into the partitions they touch, as a new version of the dataset; its number is returned.
 
-    The merged partitions are written beside the dataset and only then take its place, as a plan can't overwrite what it
-    reads. One writer at a time.
+    New rows win over old ones of the same key. Writers may run at the same time, see ``versioned``.
     """
-    rows = new.withColumn("year", F.year("ts"))
-    stage = path.rstrip("/") + "._merge"
-    try:
-        old = spark.read.option("mergeSchema", "true").parquet(path)
-        touched = rows.select(*PARTITIONS).distinct()
-        old = old.join(touched, list(PARTITIONS), "left_semi")
-    except Exception as e:  # the dataset isn't there yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        old = rows.limit(0)
-    merged = merge_latest(old, rows, [*PARTITIONS, *key]).repartition(*PARTITIONS).sortWithinPartitions(*PARTITIONS, "ts")
-    merged.write.mode("overwrite").partitionBy(*PARTITIONS).parquet(stage)
-    spark.read.parquet(stage).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(path)
+    return versioned.upsert(spark, path, new.withColumn("year", F.year("ts")), PARTITIONS, key)
 
 
 def coverage(df: DataFrame) -> DataFrame:
