@@ -70,7 +70,8 @@ def join_counted(left: DataFrame, groups: DataFrame, key: str, count: str, total
     salt = F.when(F.col("_hk").isNotNull(), F.xxhash64(*[F.col(c) for c in left.columns if c != key])).otherwise(F.lit(0))
     out = out.withColumn("_jk", spread).withColumn("_js", salt)
     out = out.join(
-        cold.withColumn("_cs", F.lit(0).cast("long")),
+        # always 0, but not to the optimizer, which would drop a literal from the keys and send all hot rows to one task
+        cold.withColumn("_cs", F.pmod(F.xxhash64("_ck"), F.lit(1)).cast("long")),
         (F.col("_jk") == F.col("_ck")) & (F.col("_js") == F.col("_cs")),
         "left",
     )
