@@ -131,7 +131,8 @@ def _filtered(e: np.ndarray, move: np.ndarray, start: np.ndarray) -> tuple[np.nd
 
 def two_states(x: np.ndarray, rounds: int = 100, tolerance: float = 1e-6) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
     """Means (low, high), common deviation, transitions and start of a hidden chain of two normal states, by expectation-maximisation."""
-    mu, sd = np.quantile(x, [0.25, 0.75]), max(float(x.std()), 1e-12)
+    # fixed values: quartiles, half the deviation, 0.95 and 0.05, even start
+    mu, sd = np.quantile(x, [0.25, 0.75]), max(float(x.std()) / 2, 1e-6)
     move, start, last = np.array([[0.95, 0.05], [0.05, 0.95]]), np.array([0.5, 0.5]), -np.inf
     for _ in range(rounds):
         e = _density(x, mu, sd)
@@ -156,26 +157,26 @@ def two_states(x: np.ndarray, rounds: int = 100, tolerance: float = 1e-6) -> tup
 def regime_multipliers(rows: DataFrame, value: str, key: str, refit: int = 21, least: int = 250, threshold: float = 0.5, scale: float = 0.5, window: int = 10, ratio: float = 1.5, persistence: float = 0.8, date: str = "date") -> DataFrame:
     """``key, date, p_high, multiplier``: ``scale`` after a row whose filtered chance of the volatile state is above ``threshold``, else 1.
 
-    The state is seen through the log volatility of ``window`` rows. Every ``refit`` rows the chain is fitted to strictly
-    earlier rows, ``least`` of them at least; fits whose states are less than ``ratio`` apart, or leave sooner than
-    ``persistence`` allows, decide nothing.
+    The state is seen through the log volatility of ``window`` rows; rows without it are passed over. Every ``refit`` rows the
+    chain is fitted to strictly earlier ones, ``least`` of them at least, and its chances are filtered by that fit until the
+    next; fits whose states are less than ``ratio`` apart, or leave sooner than ``persistence`` allows, decide nothing.
+    The defaults are fixed values.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(date)
-        x = np.log(pdf[value].rolling(window).std().clip(lower=1e-8)).to_numpy(float)
-        high, fitted = np.full(len(x), np.nan), None
-        first = int(np.argmax(~np.isnan(x))) if (~np.isnan(x)).any() else len(x)
-        x = pd.Series(x).ffill().to_numpy(float)
-        for i in range(first + least, len(x), refit):
-            mu, sd, move, start = two_states(x[first:i])
-            good = math.exp(mu[1] - mu[0]) >= ratio and move.diagonal().min() >= persistence
-            fitted = (mu, sd, move, start) if good else None
-            if fitted:
-                end = min(i + refit, len(x))
-                high[i:end] = _filtered(_density(x[first:end], mu, sd), move, start)[0][i - first :, 1]
-        late = np.append([np.nan], high[:-1]) if len(x) else high
-        return pdf[[key, date]].assign(p_high=high, multiplier=np.where(late > threshold, scale, 1.0))
+        seen = np.log(pdf[value].rolling(window).std().clip(lower=1e-8)).dropna()
+        x, place = seen.to_numpy(float), pdf.index.get_indexer(seen.index)
+        high, scaled = np.full(len(pdf), np.nan), np.ones(len(pdf))
+        for begin in range(least, len(x), refit):
+            mu, sd, move, start = two_states(x[:begin])
+            if math.exp(mu[1] - mu[0]) < ratio or move.diagonal().min() < persistence:
+                continue
+            block = np.arange(begin, min(begin + refit, len(x)))
+            chance = _filtered(_density(x[: block[-1] + 1], mu, sd), move, start)[0][:, 1]
+            high[place[block]] = chance[block]
+            scaled[place[block]] = np.where(chance[block - 1] > threshold, scale, 1.0)  # known a row before, by this fit
+        return pdf[[key, date]].assign(p_high=high, multiplier=scaled)
 
     kinds = dict(rows.dtypes)
     return rows.select(key, date, value).groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {date} {kinds[date]}, p_high double, multiplier double")
