@@ -1,7 +1,9 @@
 """Operator 1, secret scans: base patterns, and a randomness test battery with false-discovery control.
 
-Native: built-in functions only. Candidates for the battery are runs of token characters, without what base spans cover.
-Each is taken for the narrowest encoding that it fits (hexadecimal, base 32, base 64), and four tests compare it with that
+Native: built-in functions only. Candidates for the battery are runs of token characters, without what base spans cover,
+and, as a slash is both a symbol of base 64 and a separator of paths, also the pieces of a run between slashes; both
+readings are tested, and of a run and its pieces that are found random the run is reported. Runs whose short pieces are
+words are paths. Each is taken for the narrowest encoding that it fits (hexadecimal, base 32, base 64), and four tests compare it with that
 encoding's uniform random strings: chi-squared of the symbol counts, the same of the counts in quarters of the alphabet,
 runs above and below the middle of the alphabet, and the lag-1 correlation of symbol values. Each test gives a p-value of
 non-randomness; Bonferroni's minimum joins them. The Benjamini-Hochberg rule, with every string counted by its length,
@@ -16,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import durable, table
-from .spans import count_of, joined, matches, ordered
+from .spans import count_of, joined, let, matches, ordered, running
 
 NAME = "op1_secret_scan"
 
@@ -24,8 +26,11 @@ ASSIGN = r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["
 ASSIGN_VALUE = r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)$"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}+"
-CANDIDATE = r"[A-Za-z0-9+_-]{20,}+"
+CANDIDATE = r"[A-Za-z0-9+/_-]{20,}+={0,2}"
 LEAST = 20
+#: Between slashes, words and numbers of so many symbols in all mark a path; random symbols do that once in 200 times.
+PLAIN = 6
+WORD_OR_NUMBER = "^(?:[A-Za-z]?[a-z]*|[0-9]+)$"
 KINDS = ["assign", "access", "hex", "random"]
 
 #: False-discovery rate of calling a string non-random; bins of -log10 p by which the rule is evaluated.
@@ -147,10 +152,14 @@ def scan(docs: DataFrame, rate: float = RATE) -> DataFrame:
     more = matches(text, CANDIDATE, "random", lambda m: F.lit(True))
     found = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", ordered(base, KINDS).alias("base"), more.alias("more"))
     found = durable(found)
-    strings = found.where(F.size("more") > 0).select("rid", F.explode(F.flatten(F.transform("more", _outside))).alias("s"))
-    tested = durable(battery(strings.select("rid", "s", F.col("s.value").alias("value"))).select("rid", "s", "encoding", "p", "told", "n"))
+    runs = found.where(F.size("more") > 0).select("rid", F.explode(F.flatten(F.transform("more", _outside))).alias("c"))
+    strings = runs.select("rid", F.struct("c.start", "c.end").alias("run"), F.explode(_readings(F.col("c"))).alias("s"))
+    tested = durable(battery(strings.select("rid", "run", "s", F.col("s.value").alias("value"))).select("rid", "run", "s", "encoding", "p", "told", "n"))
     cut = threshold(tested, rate)
-    random = tested.where((_bin(F.col("p")) < cut) & (_bin(F.col("told")) >= cut)).groupBy("rid").agg(F.collect_list("s").alias("extra"))
+    random = tested.where((_bin(F.col("p")) < cut) & (_bin(F.col("told")) >= cut))
+    whole = F.max(F.when((F.col("s.start") == F.col("run.start")) & (F.col("s.end") == F.col("run.end")), F.col("s")))
+    random = random.groupBy("rid", "run").agg(F.collect_list("s").alias("parts"), whole.alias("whole"))
+    random = random.groupBy("rid").agg(F.flatten(F.collect_list(F.when(F.col("whole").isNull(), F.col("parts")).otherwise(F.array("whole")))).alias("extra"))
     out = found.join(random, "rid", "left").withColumn("extra", F.coalesce("extra", F.slice("base", 1, 0)))
     return out.select(
         "doc_id",
@@ -171,6 +180,25 @@ def _outside(c: Column) -> Column:
     return F.filter(parts, lambda p: (p["end"] - p["start"] >= LEAST) & ~F.exists(over, lambda b: (b["start"] < p["end"]) & (b["end"] > p["start"])))
 
 
+def _readings(c: Column) -> Column:
+    """What may be a key in a run of token characters: the run, and its pieces of LEAST code points or more between slashes.
+
+    The run is a path, and its pieces are all that may, if what is shorter are words or numbers of PLAIN symbols in all.
+    """
+
+    def pieces(parts: Column) -> Column:
+        ends = running(F.transform(parts, lambda v: F.length(v) + 1))
+        placed = F.zip_with(
+            parts, ends, lambda v, e: F.struct((c["start"] + e - 1 - F.length(v)).alias("start"), c["kind"].alias("kind"), (c["start"] + e - 1).alias("end"), v.alias("value"))
+        )
+        return F.filter(placed, lambda x: F.length(x["value"]) >= LEAST)
+
+    short = F.filter(F.split(c["value"], "/"), lambda v: (F.length(v) > 0) & (F.length(v) < LEAST))
+    words = let(short, lambda x: (F.length(F.array_join(x, "")) >= PLAIN) & F.forall(x, lambda v: F.regexp_like(v, F.lit(WORD_OR_NUMBER))))
+    whole = F.when(words, F.slice(F.array(c), 1, 0)).otherwise(F.array(c))
+    return F.array_distinct(F.concat(whole, let(F.split(c["value"], "/"), pieces)))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in all documents."""
     return scan(table(spark, sf_dir, "documents"))

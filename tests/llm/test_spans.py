@@ -204,3 +204,56 @@ def test_sanitise(spark):
     # spans that overlap go as one; nothing of the second is left
     both = spark.sql("select 'tel 123456789 x' as t, array(struct(4 as start, 'card' as kind, 9 as end, '' as value), struct(6 as start, 'phone' as kind, 13 as end, '' as value)) as s, cast(null as string) as n")
     assert both.select(pii.sanitise(F.col("t"), F.col("s")), pii.sanitise(F.col("n"), F.col("s")), pii.sanitise(F.col("t"), F.slice("s", 1, 0))).first()[:] == ("tel [CARD] x", None, "tel 123456789 x")
+
+
+def test_many_matches_in_one_text(spark):
+    """Far more matches than one fold takes; positions as in Python."""
+    from pyspark.sql import functions as F
+
+    from lodestrata.llm import spans
+
+    for n in (64, 65, 4096, 4097, 30_000):
+        text = " ".join(f"é{'x' * (i % 5)} u{i}@h{i % 7}.org" for i in range(n))
+        df = spark.createDataFrame([(text,)], "t string")
+        got = df.select(F.inline(spans.matches(F.col("t"), pii.EMAIL, "email", lambda m: ~m.endswith("3.org")))).collect()
+        want = [(m.start(), m.end(), m.group()) for m in PII["email"][0].finditer(text) if not m.group().endswith("3.org")]
+        assert [(r["start"], r["end"], r["value"]) for r in got] == want
+    numbers = [(i * 7) % 11 for i in range(5000)]
+    df = spark.createDataFrame([(numbers[:k],) for k in (0, 1, 63, 64, 65, 4095, 4096, 4097, 5000)], "x array<int>")
+    for r in df.select("x", spans.running(F.col("x"), 1).alias("a"), spans.running(F.col("x")).alias("b")).collect():
+        total, want = 0, []
+        for v in r["x"]:
+            total += v
+            want.append(total)
+        assert r["a"] == r["b"] == want
+
+
+def plain_names():
+    """Long names, as corpora hold them: without any, nothing shows what the tests can tell."""
+    rng = random.Random(2)
+    words = "over the counter intelligence business development of international relations and some other departments".split()
+    return [(2 * 10**6 + i, rng.choice("_-").join(rng.choices(words, k=5))) for i in range(400)]
+
+
+@pytest.mark.parametrize(("alphabet", "lengths"), [("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", (24, 32, 40, 64)), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", (32, 48)), ("0123456789ABCDEF", (48, 64))])
+def test_recall_over_full_alphabets(spark, sf_dir, alphabet, lengths):
+    """Random strings of an encoding's whole alphabet, slashes included, among the documents; reported whole."""
+    rng = random.Random(len(alphabet))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id", "text")
+    planted = {}
+    for n in lengths:
+        for _ in range(150):
+            planted[10**6 + len(planted)] = (n, "".join(rng.choice(alphabet) for _ in range(n)))
+    rows = spark.createDataFrame([(d, f"voici {v} fin") for d, (_, v) in planted.items()] + plain_names(), docs.schema)
+    got = {r["doc_id"]: r["spans"] for r in secrets.scan(docs.union(rows)).where("doc_id >= 1000000").collect()}
+    for n in lengths:
+        whole = [any(x == f"random:6:{6 + n}" for x in got[d].split(",")) for d, (k, _) in planted.items() if k == n]
+        assert sum(whole) >= 0.95 * len(whole), (n, sum(whole), len(whole))
+
+
+def test_paths_and_padding(spark):
+    texts = ["/usr/local/share/documentation/packages/standard/include/readme", "https://example.org/some/long/path/of/plain/words/in/a/row", "q9Zx81LmPq22XyTr55Abq3==", "see usr/q9Zx81LmPq22XyTr55AbKd83Jw0/share"]
+    docs = spark.createDataFrame(list(enumerate(texts)) + plain_names(), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in secrets.scan(docs).collect()}
+    assert got[0] == got[1] == "" and got[2] == "random:0:24"
+    assert got[3] == "random:8:35"
