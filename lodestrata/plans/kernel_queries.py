@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import windows as W
 from ..operators import books as B
+from ..operators import components as C
 from ..operators import decisions as D
 from ..operators import futures as U
 from ..operators import inference as I
@@ -377,3 +378,25 @@ ORACLES |= {
 SELECT market, date, round(state, 7) AS state, round(CASE WHEN count(state) OVER b >= 52 THEN quantile_cont(state, 0.8) OVER b END, 7) AS threshold FROM st
 WINDOW b AS (PARTITION BY market ORDER BY date ROWS BETWEEN 104 PRECEDING AND 1 PRECEDING)""",
 }
+
+
+# --- principal components ---------------------------------------------------------------------------------------------
+def _components(spark, d):
+    return C.principal_components(C.centred(_windows(spark, d), "cutoff"), "cutoff", 3)
+
+
+@query
+def pca_loadings(spark, d):
+    """Loadings of each book's returns, turned to those of the book before."""
+    return _rounded(C.aligned(_components(spark, d)[0], "cutoff"), digits=6)
+
+
+@query
+def pca_explained(spark, d):
+    return _rounded(C.explained(_components(spark, d)[2], "cutoff"), digits=7)
+
+
+@query
+def pca_probabilistic(spark, d):
+    spectrum = _components(spark, d)[2]
+    return C.probabilistic(spectrum, "cutoff").select("cutoff", F.round("noise", 9).alias("noise"), F.transform("factor_variance", lambda v: F.round(v, 8)).alias("factor_variance"))
