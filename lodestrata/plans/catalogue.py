@@ -11,6 +11,7 @@ from ..functions import scalars as S
 from ..functions import windows as W
 from ..operators import evaluation as E
 from ..operators import inference as I
+from ..operators import orders as O
 from ..operators import portfolio as P
 from ..operators import quality as Q
 from ..operators import risk as R
@@ -18,6 +19,7 @@ from ..operators import universe as U
 from ..operators import weights as T
 from ..operators.grid import asof_join, densify, islands, range_join
 from ..sources import shared, versioned
+from ..streaming import orders as SO
 from . import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -623,3 +625,84 @@ def weights_validate(spark, d):
     w = V.panel(spark, d).where("weight is not null").select("date", "asset", (F.col("weight") * 2).alias("weight"), "in_universe", F.col("dv").isNotNull().alias("listed"))
     old = w.select(F.date_add("date", 7).alias("date"), "asset", "weight")
     return rnd(T.validate_weights(w, old, "date"), "gross", "net", "change")
+
+
+# --- orders -----------------------------------------------------------------------------------------------------------
+FILLS = """fills AS (
+  SELECT event_id AS fill_id, user_id % 20 AS book, event_type AS coin, CASE WHEN user_id % 3 = 0 THEN 'sell' ELSE 'buy' END AS side, round(abs(value), 3) AS size, 100.0::DOUBLE + event_id % 50 AS price, 0.01::DOUBLE AS fee, length(event_type) % 3 AS decimals FROM events
+), filled AS (
+  SELECT book, coin, any_value(decimals) AS decimals, sum(CASE WHEN side = 'buy' THEN size ELSE -size END) AS position, sum(CASE WHEN side = 'buy' THEN size ELSE -size END * price) AS notional, sum(fee) AS fees, count(*) AS n_fills FROM fills GROUP BY 1, 2
+), quotes AS (SELECT coin, avg(price) AS mid, any_value(decimals) AS decimals FROM fills GROUP BY 1)"""
+
+
+def _fills(spark, d):
+    """Events as fills of books; every seventh is delivered twice."""
+    e = V.ticks(spark, d)
+    f = e.select(
+        F.col("event_id").alias("fill_id"), (F.col("user_id") % 20).alias("book"), F.col("event_type").alias("coin"), F.when(F.col("user_id") % 3 == 0, "sell").otherwise("buy").alias("side"),
+        F.round(F.abs("value"), 3).alias("size"), (F.lit(100.0) + F.col("event_id") % 50).alias("price"), F.lit(0.01).alias("fee"), (F.length("event_type") % 3).alias("decimals"),
+    )
+    return f.unionByName(f.where("fill_id % 7 = 0"))
+
+
+def _quotes(f):
+    return O.distinct_fills(f).groupBy("coin").agg(F.avg("price").alias("mid"), F.min("decimals").alias("decimals"))
+
+
+@query("order_positions", _with(FILLS, "SELECT book, coin, round(position, 5) AS position, round(notional, 3) AS notional, round(fees, 5) AS fees, n_fills FROM filled"))
+def order_positions(spark, d):
+    t = O.totals(_fills(spark, d), ["book", "coin"])
+    return t.select("book", "coin", F.round("position", 5).alias("position"), F.round("notional", 3).alias("notional"), F.round("fees", 5).alias("fees"), "n_fills")
+
+
+@query("order_targets", _with(FILLS, """, t AS (
+  SELECT book, coin, round(position, 5) AS position, mid, q.decimals AS decimals, ((book * 7 + length(coin)) % 11 - 5) / 10.0::DOUBLE * 10000 * (book + 1) / mid AS raw FROM filled JOIN quotes q USING (coin)
+), s AS (
+  SELECT *, floor(round(abs(raw) * 10 ** decimals, 8)) / 10 ** decimals * CASE WHEN raw >= 0 THEN 1 ELSE -1 END AS size FROM t
+), r AS (SELECT *, CASE WHEN abs(size - position) <= 0.2::DOUBLE * abs(size) THEN position ELSE size END AS target FROM s)
+SELECT book, coin, round(target, 5) AS target, round(target - position, 5) AS trade, round((target - position) * mid, 2) AS value FROM r"""))
+def order_targets(spark, d):
+    f = _fills(spark, d)
+    held = O.totals(f, ["book", "coin"]).select("book", "coin", F.round("position", 5).alias("position"))
+    weights = held.select("book", "coin", (((F.col("book") * 7 + F.length("coin")) % 11 - 5) / 10.0).alias("weight"), (10000.0 * (F.col("book") + 1)).alias("capital"))
+    t = O.targets(weights, held, _quotes(f), "book", "coin", 0.2)
+    return t.select("book", "coin", F.round("target", 5).alias("target"), F.round("trade", 5).alias("trade"), F.round("value", 2).alias("value"))
+
+
+@query("order_reconcile", _with(FILLS, """, v AS (SELECT book, coin, sum(CASE WHEN side = 'buy' THEN size ELSE -size END) AS position FROM fills WHERE fill_id % 101 <> 0 GROUP BY 1, 2)
+SELECT book, coin, round(f.position, 4) AS ledger, round(coalesce(v.position, 0), 4) AS venue, abs(f.position - coalesce(v.position, 0)) > 1.5::DOUBLE * 10.0::DOUBLE ** -f.decimals AS mismatch FROM filled f LEFT JOIN v USING (book, coin)"""))
+def order_reconcile(spark, d):
+    """The venue lacks every 101st fill."""
+    f = _fills(spark, d)
+    ledger, venue = O.totals(f, ["book", "coin"]), O.totals(f.where("fill_id % 101 <> 0"), ["book", "coin"])
+    return rnd(O.reconcile_positions(ledger, venue, _quotes(f), ["book", "coin"], "coin"), "ledger", "venue", digits=4)
+
+
+@query("order_prices", """
+WITH p AS (SELECT event_id, event_id % 4 AS d, user_id % 2 = 0 AS buy, round(abs(value) * 1.37::DOUBLE + 0.001::DOUBLE, 7) AS px FROM events),
+s AS (SELECT *, 10.0::DOUBLE ** greatest(least(6 - d, 4 - floor(log10(px))), 0) AS k FROM p), u AS (SELECT *, px::VARCHAR::DECIMAL(24, 9) * k::DECIMAL(7, 0) AS x FROM s)
+SELECT event_id, floor(round(px * 10 ** d, 8)) / 10 ** d AS size, CASE WHEN buy THEN floor(x) ELSE ceil(x) END::DOUBLE / k AS passive, CASE WHEN buy THEN ceil(x) ELSE floor(x) END::DOUBLE / k AS aggressive, 1 / k AS tick FROM u""")
+def order_prices(spark, d):
+    e = V.ticks(spark, d).select("event_id", (F.col("event_id") % 4).cast("int").alias("d"), F.when(F.col("user_id") % 2 == 0, "buy").otherwise("sell").alias("side"), F.round(F.abs("value") * 1.37 + 0.001, 7).alias("px"))
+    px, n, side = F.col("px"), F.col("d"), F.col("side")
+    return e.select("event_id", O.round_size(px, n).alias("size"), O.quoted_price(px, n, side).alias("passive"), O.quoted_price(px, n, side, False).alias("aggressive"), O.tick(px, n).alias("tick"))
+
+
+@query("order_stream", """
+WITH e AS (SELECT 'u' || user_id || event_type AS cloid, event_id, round(abs(value), 2) AS size, event_type FROM events),
+f AS (SELECT cloid, sum(size) AS filled, count(*) AS n FROM e WHERE event_id % 5 <> 0 GROUP BY 1), c AS (SELECT DISTINCT cloid, count(*) OVER (PARTITION BY cloid) AS updates, bool_or(event_id % 15 = 0) OVER (PARTITION BY cloid) AS done FROM e)
+SELECT cloid, CASE WHEN done THEN 'canceled' WHEN coalesce(filled, 0) > 0 THEN 'partial' ELSE 'open' END AS status, round(coalesce(filled, 0), 3) AS filled, coalesce(n, 0) AS n_fills FROM c LEFT JOIN f USING (cloid)""")
+def order_stream(spark, d):
+    """Events as deliveries of orders, every seventh twice, streamed in files by time; every fifth is a report."""
+    e = V.ticks(spark, d)
+    report = F.col("event_id") % 5 == 0
+    status = F.when(F.col("event_id") % 15 == 0, "canceled").when(report, "open")
+    rows = e.select(
+        F.concat(F.lit("u"), "user_id", "event_type").alias("cloid"), F.when(report, "update").otherwise("fill").alias("kind"), F.when(~report, F.col("event_id").cast("string")).alias("fill_id"), status.alias("status"),
+        F.when(~report, F.round(F.abs("value"), 2)).alias("size"), F.lit(10.0).alias("price"), F.lit(0.0).alias("fee"), F.lit(None).cast("double").alias("filled"), F.lit(None).cast("double").alias("order_size"), F.col("ts").cast("timestamp").alias("ts"),
+    )
+    rows = rows.unionByName(rows.where("fill_id % 7 = 0"))
+    folder = shared.fresh(spark)
+    states = SO.order_states(SO.replayed(spark, rows, f"{folder}/in", 4), "1 hour", 86_400.0 * 4000)
+    out = SO.latest(SO.run_to_table(states, f"{folder}/out", f"{folder}/checkpoint"))
+    return out.select("cloid", "status", F.round("filled", 3).alias("filled"), "n_fills")
