@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import normal_cdf, quantile
+from . import scan
 
 
 def performance(rows: DataFrame, r: str, keys: list[str], periods: float = 52.0) -> DataFrame:
@@ -140,10 +141,11 @@ def path_statistics(paths: DataFrame, periods: int = 52) -> DataFrame:
 
 def state_probabilities(rows: DataFrame, state: str, target: float, order: str = "date", half_life: int | None = None) -> DataFrame:
     """``p``: Gaussian weight of a row's state around ``target`` (bandwidth: half the deviation), decayed by age."""
-    whole = Window.partitionBy()
-    s = rows.withColumn("_bw", F.stddev_pop(state).over(whole) / 2)
+    one = rows.agg((F.stddev_pop(state) / 2).alias("_bw"), F.count("*").alias("_n"))  # one row
+    s = scan.numbered(rows, [], [order]) if half_life else rows.withColumn("_i", F.lit(0))
+    s = s.join(F.broadcast(one))
     k = F.coalesce(F.exp(-0.5 * F.try_divide(F.col(state) - target, F.col("_bw")) ** 2), F.lit(0.0))
     if half_life:
-        age = F.row_number().over(Window.orderBy(F.desc(order))) - 1
-        k = k * F.pow(F.lit(0.5), age / half_life)
-    return s.withColumn("_k", k).withColumn("p", F.col("_k") / F.sum("_k").over(whole)).drop("_k", "_bw")
+        k = k * F.pow(F.lit(0.5), (F.col("_n") - 1 - F.col("_i")) / half_life)
+    s = s.withColumn("_k", k)
+    return s.join(F.broadcast(s.agg(F.sum("_k").alias("_total")))).withColumn("p", F.col("_k") / F.col("_total")).select(*rows.columns, "p")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,13 +16,28 @@ from pyspark.sql import functions as F
 def rademacher(rows: DataFrame, value: str, draws: int = 1000, seed: int = 0, key: str = "asset", date: str = "date") -> DataFrame:
     """``complexity, n, t``: mean over random signs of the best strategy's signed mean; signs are hashes of seed, draw and date.
 
-    A strategy without a value on a date counts as zero there. One row; sums are partial before they are shuffled.
+    A strategy without a value on a date counts as zero there. One row. A task sums its rows for all draws at once, so rows are
+    never multiplied by draws; it holds a vector a strategy and a vector a date.
     """
     x = rows.where(F.col(value).isNotNull()).select(key, date, value)
     sizes = x.agg(F.countDistinct(key).alias("n"), F.countDistinct(date).alias("t"))
-    drawn = x.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    digit = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("draw").cast("string"), F.col(date).cast("string"))), 1, 1)
-    signed = drawn.groupBy("draw", key).agg(F.sum(F.when(digit < "8", F.col(value)).otherwise(-F.col(value))).alias("s"))
+
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A task's sums of each strategy, a vector over the draws; signs are made once a date."""
+        signs: dict[str, np.ndarray] = {}
+        sums: dict = {}
+        for pdf in batches:
+            for day in set(pdf["_d"]) - set(signs):
+                signs[day] = np.array([1.0 if hashlib.md5(f"{seed}:{i}:{day}".encode()).hexdigest()[0] < "8" else -1.0 for i in range(draws)])
+            for k, own in pdf.groupby(key, sort=False):
+                sums[k] = sums.get(k, 0.0) + own["_v"].to_numpy(float) @ np.array([signs[day] for day in own["_d"]])
+            if len(sums) * draws > 4_000_000:
+                yield pd.DataFrame({key: list(sums), "_s": list(sums.values())})
+                sums = {}
+        yield pd.DataFrame({key: list(sums), "_s": list(sums.values())})
+
+    vectors = x.select(key, F.col(date).cast("string").alias("_d"), F.col(value).cast("double").alias("_v")).mapInPandas(summed, f"{key} {dict(rows.dtypes)[key]}, _s array<double>")
+    signed = vectors.select(key, F.posexplode("_s").alias("draw", "_x")).groupBy("draw", key).agg(F.sum("_x").alias("s"))
     best = signed.groupBy("draw").agg(F.max("s").alias("s")).agg(F.avg("s").alias("s"))
     return best.crossJoin(sizes).select((F.col("s") / F.col("t")).alias("complexity"), "n", "t")  # one row each
 

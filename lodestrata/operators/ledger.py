@@ -125,7 +125,7 @@ def run_ledger(prices: pd.DataFrame, weights: pd.DataFrame, rates: pd.DataFrame,
         account, pnl, funding = accrue(account, price, rate)
         account, sold, _ = call(account, r)
         need = r.margin * gross(account.units, account.marks)
-        fill = np.where(np.isnan(fill), account.marks, fill)
+        fill = np.where(np.isnan(fill) | gone, account.marks, fill)  # a price that ended leaves at the last one
         account, trade, fees, reduced = rebalance(account, weight, fill, gone, lot, need, r)
         fees = fees + r.fee * np.abs(np.where(sold != 0, sold * account.marks, 0.0))
         margin = r.margin * gross(account.units, account.marks)

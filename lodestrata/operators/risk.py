@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import windows as W
+from ..sources.shared import durable
+from . import scan
 
 
 def realised_variance(rows: DataFrame, keys: list[str], r: str = "r", ts: str = "ts") -> DataFrame:
@@ -24,9 +26,12 @@ def roll_spread(rows: DataFrame, key: str, px: str, order: list[str]) -> DataFra
 
 def sample_covariance(rows: DataFrame, value: str = "ret", key: str = "asset", date: str = "date") -> DataFrame:
     """``a, b, cov, corr, n`` of all pairs of assets with a <= b, over dates on which both have a value."""
-    x = rows.where(F.col(value).isNotNull()).select(date, F.col(key).alias("a"), F.col(value).alias("x"))
-    y = x.select(date, F.col("a").alias("b"), F.col("x").alias("y"))
-    return x.join(y, date).where("a <= b").groupBy("a", "b").agg(F.covar_samp("x", "y").alias("cov"), F.corr("x", "y").alias("corr"), F.count("*").alias("n"))
+    x = rows.where(F.col(value).isNotNull()).select(date, F.struct(F.col(key).alias("k"), F.col(value).alias("x")).alias("s"))
+    # a date's cross-section pairs up inside a task, so only sums of pairs are shuffled
+    cuts = x.groupBy(date).agg(F.sort_array(F.collect_list("s")).alias("_s")).select("_s", F.posexplode("_s").alias("_i", "_a"))
+    pair = cuts.select("_a", F.explode(F.slice("_s", F.col("_i") + 1, F.size("_s"))).alias("_b"))
+    x, y = F.col("_a.x"), F.col("_b.x")
+    return pair.groupBy(F.col("_a.k").alias("a"), F.col("_b.k").alias("b")).agg(F.covar_samp(x, y).alias("cov"), F.corr(x, y).alias("corr"), F.count("*").alias("n"))
 
 
 def winsorize_returns(rows: DataFrame, most: float = 8.0, value: str = "ret", key: str = "asset") -> DataFrame:
@@ -86,6 +91,8 @@ def _tail(scen: DataFrame, alpha: float, keys: list[str], pnl: str, sid: str, p:
 
     The boundary is row k = min(#{cumulative p <= 1 - alpha}, n - 1) of the losses in falling order.
     """
+    if not keys:
+        return _tail_of_one(scen, alpha, pnl, sid, p)
     part = Window.partitionBy(*keys)
     prob = F.col(p) / F.sum(p).over(part) if p else F.lit(1.0) / F.count("*").over(part)
     order = part.orderBy(F.desc("loss"), sid)
@@ -98,6 +105,21 @@ def _tail(scen: DataFrame, alpha: float, keys: list[str], pnl: str, sid: str, p:
     return t.withColumn("w", F.when(inside, F.col("p")).when(F.col("i") == F.col("k"), 1 - alpha - before).otherwise(0.0))
 
 
+def _tail_of_one(scen: DataFrame, alpha: float, pnl: str, sid: str, p: str | None) -> DataFrame:
+    """``_tail`` of all scenarios together: ranks and running probabilities by an ordered scan, totals as one row."""
+    one = scen.agg((F.sum(p) if p else F.count("*").cast("double")).alias("_sum"), F.count("*").alias("_all"))
+    t = scen.withColumn("loss", -F.col(pnl)).join(F.broadcast(one)).withColumn("p", (F.col(p) if p else F.lit(1.0)) / F.col("_sum"))
+    t = t.withColumn("_late", F.col("loss").isNull()).withColumn("_order", -F.col("loss"))
+    t = durable(scan.recurrences(t, [], ["_late", "_order", sid], {"cum": (F.lit(1.0), F.col("p")), "_c": (F.lit(1.0), F.lit(1.0))}))
+    full = F.col("cum") <= 1 - alpha + 1e-12
+    k = t.agg(F.least(F.coalesce(F.sum(full.cast("long")), F.lit(0)), F.max("_all") - 1).alias("k"))
+    t = t.withColumn("i", F.col("_c_before").cast("long")).join(F.broadcast(k))
+    before = t.agg(F.coalesce(F.sum(F.when(F.col("i") < F.col("k"), F.col("p"))), F.lit(0.0)).alias("_before"))
+    t = t.join(F.broadcast(before))
+    w = F.when(F.col("i") < F.col("k"), F.col("p")).when(F.col("i") == F.col("k"), 1 - alpha - F.col("_before")).otherwise(0.0)
+    return t.withColumn("w", w).drop("_sum", "_all", "_late", "_order", "_c", "_c_before", "cum_before", "_before")
+
+
 def var_cvar(scen: DataFrame, alpha: float = 0.95, keys: tuple[str, ...] = (), pnl: str = "pnl", sid: str = "date", p: str | None = None) -> DataFrame:
     t = _tail(scen, alpha, list(keys), pnl, sid, p)
     return t.groupBy(*keys).agg((F.sum(F.col("w") * F.col("loss")) / (1 - alpha)).alias("cvar"), F.max(F.when(F.col("i") == F.col("k"), F.col("loss"))).alias("var"))

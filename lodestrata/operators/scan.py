@@ -139,7 +139,7 @@ def recurrences(
     columns |= {f"_s_{n}": (F.col(s) if isinstance(s := start.get(n, 0.0), str) else F.lit(s)).cast("double") for n in names}
     rows = stretches(df.withColumns(columns), keys, order, tasks)
     kinds, kept = dict(rows.dtypes), df.columns
-    listed = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+    listed = "".join(f"`{k}` {kinds[k]}, " for k in keys)
     maps = ", ".join(f"_a_{n} double, _b_{n} double, _s_{n} double" for n in names)
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,8 +171,8 @@ def recurrences(
     read = rows.select(*keys, "_part", *columns, "_at")
     # files of a stretch are read in any number of tasks: sorted anew, each is in one task and in order
     by_part = lambda x: x.repartition("_part").sortWithinPartitions("_part", "_at")
-    held = by_part(read).mapInArrow(summed, f"{listed}, _part int, {maps}")
-    enters = held.groupBy(*keys).applyInPandas(entering, f"{listed}, _part int, " + ", ".join(f"_v_{n} double" for n in names))
+    held = by_part(read).mapInArrow(summed, f"{listed}_part int, {maps}")
+    enters = held.groupBy(*keys).applyInPandas(entering, f"{listed}_part int, " + ", ".join(f"_v_{n} double" for n in names))
     other = enters.withColumnsRenamed({k: f"_key{j}" for j, k in enumerate(keys)} | {"_part": "_p"})
     same = F.col("_part") == F.col("_p")
     for j, k in enumerate(keys):

@@ -103,13 +103,13 @@ def _within(limit: Column, above: bool):
 
 
 def parse_chart(docs: DataFrame, zone: str = "America/New_York") -> DataFrame:
-    """Daily bars from chart JSON (column ``value``) with parallel arrays; the date is the exchange's; empty closes go."""
-    quote = "struct<timestamp:array<bigint>,indicators:struct<quote:array<struct<open:array<double>,high:array<double>,low:array<double>,close:array<double>,volume:array<double>>>>>"
+    """Daily bars of each symbol from chart JSON (column ``value``) with parallel arrays; the date is the exchange's; empty closes go."""
+    quote = "struct<meta:struct<symbol:string>,timestamp:array<bigint>,indicators:struct<quote:array<struct<open:array<double>,high:array<double>,low:array<double>,close:array<double>,volume:array<double>>>>>"
     r = docs.select(F.explode(F.from_json("value", f"struct<chart:struct<result:array<{quote}>>>")["chart"]["result"]).alias("r"))
     q = F.col("r.indicators.quote")[0]
-    rows = r.select(F.inline(F.arrays_zip(F.col("r.timestamp").alias("t"), *[q[c].alias(c) for c in ("open", "high", "low", "close", "volume")])))
-    rows = rows.select(F.to_date(F.from_utc_timestamp(F.timestamp_seconds(rows[0]), zone)).alias("ts"), *rows.columns[1:])
-    last = F.row_number().over(Window.partitionBy("ts").orderBy(F.desc_nulls_last("close")))
+    rows = r.select(F.col("r.meta.symbol").alias("symbol"), F.inline(F.arrays_zip(F.col("r.timestamp").alias("t"), *[q[c].alias(c) for c in ("open", "high", "low", "close", "volume")])))
+    rows = rows.select("symbol", F.to_date(F.from_utc_timestamp(F.timestamp_seconds(rows[1]), zone)).alias("ts"), *rows.columns[2:])
+    last = F.row_number().over(Window.partitionBy("symbol", "ts").orderBy(F.desc_nulls_last("close")))
     return rows.where("close is not null").withColumn("_k", last).where("_k = 1").drop("_k")
 
 

@@ -95,3 +95,12 @@ def test_event_gaps_in_chunks(spark, monkeypatch, around, least):
     got = quality.event_gaps(df, around=around, least=least, tasks=9)
     got = sorted((r["asset"], int(r["gap_start"].timestamp()), int(r["gap_end"].timestamp()), r["n_missing"]) for r in got.collect())
     assert got == sorted(want) and len(want) > 20
+
+
+def test_without_keys(series):
+    """The whole table as one series."""
+    rows = series.where("x is not null").select("t", "x", F.coalesce("k", F.lit("")).alias("k"))
+    got = scan.recurrences(scan.numbered(rows, [], ["t", "k"], tasks=8), [], ["_i"], {"s": (F.lit(1.0), F.col("x"))}, tasks=8).orderBy("_i").toPandas()
+    want = rows.toPandas().sort_values(["t", "k"])
+    assert (got["k"].to_numpy() == want["k"].to_numpy()).all()
+    np.testing.assert_allclose(got["s"], want["x"].cumsum(), atol=1e-9)
