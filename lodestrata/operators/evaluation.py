@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import normal_cdf, quantile
@@ -96,6 +96,41 @@ def combinations(dates: DataFrame, n_groups: int = 6, n_test: int = 2, purge: in
     return out.where("role is not null").select("fold", "role", "date")
 
 
+def paths(spark: SparkSession, n_groups: int = 6, n_test: int = 2) -> DataFrame:
+    """``path, grp, fold``: the folds of ``combinations`` stitched to paths, each of which has every group once.
+
+    The earliest fold that tests a group is on the first path, the next one on the second, and so on; every test group of
+    every fold is on one path.
+    """
+    tested = [(f, g) for f, c in enumerate(itertools.combinations(range(n_groups), n_test)) for g in c]
+    rows = spark.createDataFrame(tested, "fold long, grp long")  # as many as the folds have test groups
+    return rows.select((F.row_number().over(Window.partitionBy("grp").orderBy("fold")) - 1).cast("long").alias("path"), "grp", "fold")
+
+
+def path_returns(rows: DataFrame, r: str, n_groups: int = 6, n_test: int = 2, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``keys, path, date`` and ``r`` of the paths: each date's return comes from the fold that tests it there.
+
+    ``rows``: keys, fold, date and the return out of sample; what isn't a test row of its fold isn't used. Groups are those of
+    all dates in ``rows``.
+    """
+    g = groups(rows, n_groups).select("date", "grp")
+    stitched = rows.join(g, "date").join(F.broadcast(paths(rows.sparkSession, n_groups, n_test)), ["fold", "grp"])
+    return stitched.select(*keys, "path", "date", r)
+
+
+def compare_variants(rows: DataFrame, r: str, variant: str, k: int = 6, periods: float = 52.0) -> DataFrame:
+    """``variant, sharpe, groups_min, groups_mean, groups_positive, n``: the whole and the contiguous groups of all dates.
+
+    ``groups_positive`` is a share of the groups in which the variant has a Sharpe ratio.
+    """
+    x = F.col(r)
+    score = F.try_divide(F.avg(x), F.stddev_samp(x)) * F.sqrt(F.lit(periods))
+    seen = rows.where(x.isNotNull())
+    each = seen.join(groups(rows, k).select("date", "grp"), "date").groupBy(variant, "grp").agg(score.alias("_s")).groupBy(variant)
+    parts = each.agg(F.min("_s").alias("groups_min"), F.avg("_s").alias("groups_mean"), F.avg((F.col("_s") > 0).cast("double")).alias("groups_positive"))
+    return seen.groupBy(variant).agg(score.alias("sharpe"), F.count("*").alias("n")).join(parts, variant).select(variant, "sharpe", "groups_min", "groups_mean", "groups_positive", "n")
+
+
 def group_sharpes(rows: DataFrame, r: str, k: int = 6, periods: float = 52.0) -> DataFrame:
     j = rows.join(groups(rows, k), "date")
     return j.groupBy("grp").agg(F.min("date").alias("first"), F.max("date").alias("last"), (F.try_divide(F.avg(r), F.stddev_samp(r)) * F.sqrt(F.lit(periods))).alias("sharpe"))

@@ -544,6 +544,37 @@ def cv_combinatorial(spark, d):
     return E.combinations(V.bars(spark, d), 6, 2, 2, 3)
 
 
+COMBINED = """gr AS (SELECT *, ntile(6) OVER (ORDER BY i) - 1 AS grp FROM dn), e AS (SELECT grp, min(i) AS lo, max(i) AS hi FROM gr GROUP BY 1),
+c AS (SELECT row_number() OVER (ORDER BY a.grp, b.grp) - 1 AS fold, a.grp AS x, b.grp AS y, a.lo AS l1, a.hi AS h1, b.lo AS l2, b.hi AS h2 FROM e a JOIN e b ON a.grp < b.grp),
+pa AS (SELECT fold, grp, row_number() OVER (PARTITION BY grp ORDER BY fold) - 1 AS path FROM (SELECT fold, unnest([x, y]) AS grp FROM c))"""
+
+
+@query("cv_paths", _with(DATES + ", " + COMBINED, "SELECT path, date, fold, grp FROM pa JOIN gr USING (grp)"))
+def cv_paths(spark, d):
+    g = E.groups(V.bars(spark, d), 6)
+    return g.join(F.broadcast(E.paths(spark, 6, 2)), "grp").select("path", "date", "fold", "grp")
+
+
+@query("cv_path_sharpes", _with(V.PANEL + ", dn AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i FROM (SELECT DISTINCT date FROM panel)), " + COMBINED + """, mk AS (SELECT date, avg(ret) AS m FROM panel GROUP BY 1),
+ro AS (SELECT fold, date, CASE WHEN grp IN (x, y) THEN 'test' ELSE 'train' END AS role FROM gr, c WHERE grp IN (x, y) OR ((i < l1 - 2 OR i > h1 + 3) AND (i < l2 - 2 OR i > h2 + 3))),
+si AS (SELECT fold, sign(avg(m)) AS s FROM ro JOIN mk USING (date) WHERE role = 'train' GROUP BY 1), oo AS (SELECT fold, date, s * m AS r FROM ro JOIN mk USING (date) JOIN si USING (fold) WHERE role = 'test')""",
+"SELECT path, count(r) AS n, round(avg(r) / nullif(stddev_samp(r), 0) * sqrt(52), 5) AS sharpe FROM oo JOIN gr USING (date) JOIN pa USING (fold, grp) GROUP BY 1"))
+def cv_path_sharpes(spark, d):
+    """The market, long or short as it went in a fold's training rows, along the paths."""
+    m = V.panel(spark, d).groupBy("date").agg(F.avg("ret").alias("m"))
+    rows = E.combinations(m, 6, 2, 2, 3).join(m, "date")
+    side = rows.where("role = 'train'").groupBy("fold").agg(F.signum(F.avg("m")).alias("s"))
+    out = rows.where("role = 'test'").join(side, "fold").withColumn("r", F.col("s") * F.col("m"))
+    sharpe = F.try_divide(F.avg("r"), F.stddev_samp("r")) * F.sqrt(F.lit(52.0))
+    return rnd(E.path_returns(out, "r").groupBy("path").agg(F.count("r").alias("n"), sharpe.alias("sharpe")), "sharpe", digits=5)
+
+
+@query("cv_variants", _with(V.PANEL + ", gg AS (SELECT date, ntile(6) OVER (ORDER BY date) - 1 AS grp FROM (SELECT DISTINCT date FROM panel)), sh AS (SELECT asset, grp, avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(52) AS s FROM panel JOIN gg USING (date) WHERE ret IS NOT NULL GROUP BY 1, 2)",
+"SELECT asset, round(sharpe, 5) AS sharpe, round(groups_min, 5) AS groups_min, round(groups_mean, 5) AS groups_mean, round(groups_positive, 5) AS groups_positive, n FROM (SELECT asset, avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(52) AS sharpe, count(ret) AS n FROM panel GROUP BY 1) JOIN (SELECT asset, min(s) AS groups_min, avg(s) AS groups_mean, avg((s > 0)::INT) AS groups_positive FROM sh GROUP BY 1) USING (asset) WHERE n > 0"))
+def cv_variants(spark, d):
+    return rnd(E.compare_variants(V.panel(spark, d), "ret", "asset"), "sharpe", "groups_min", "groups_mean", "groups_positive", digits=5)
+
+
 @query("cv_group_sharpes", _with(V.PANEL + ", mk AS (SELECT date, avg(ret) AS m FROM panel GROUP BY 1), gg AS (SELECT *, ntile(6) OVER (ORDER BY date) - 1 AS grp FROM mk)", "SELECT grp, min(date) AS first, max(date) AS last, round(avg(m) / nullif(stddev_samp(m), 0) * sqrt(52), 5) AS sharpe FROM gg GROUP BY 1"))
 def cv_group_sharpes(spark, d):
     m = V.panel(spark, d).groupBy("date").agg(F.avg("ret").alias("m"))
