@@ -269,11 +269,12 @@ PNL_SQL = """pnl AS (
 
 
 def _rounded(df, *but, digits=8):
-    return df.withColumns({c: F.round(c, digits) for c, kind in df.dtypes if kind == "double" and c not in but})
+    """Doubles rounded, without negative zeros."""
+    return df.withColumns({c: F.round(c, digits) + F.lit(0.0) for c, kind in df.dtypes if kind == "double" and c not in but})
 
 
 def _columns(names, digits=8):
-    return ", ".join(f"round({n}, {digits}) AS {n}" for n in names.split())
+    return ", ".join(f"round({n}, {digits}) + 0.0::DOUBLE AS {n}" for n in names.split())
 
 
 def _forecast(spark, d):
