@@ -6,10 +6,10 @@ import os
 import duckdb
 import pytest
 
-from lodestrata.plans import catalogue, kernel_queries
+from lodestrata.plans import catalogue, kernel_queries, series_queries
 
-QUERIES = catalogue.QUERIES | {n: kernel_queries.QUERIES[n] for n in kernel_queries.ORACLES}
-ORACLES = catalogue.ORACLES | kernel_queries.ORACLES
+QUERIES = catalogue.QUERIES | {n: kernel_queries.QUERIES[n] for n in kernel_queries.ORACLES} | {n: series_queries.QUERIES[n] for n in series_queries.ORACLES}
+ORACLES = catalogue.ORACLES | kernel_queries.ORACLES | series_queries.ORACLES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
