@@ -9,6 +9,7 @@ from ..operators import books as B
 from ..operators import components as C
 from ..operators import decisions as D
 from ..operators import futures as U
+from ..operators import garch as G
 from ..operators import inference as I
 from ..operators import kernels as K
 from ..operators import ledger as L
@@ -129,7 +130,13 @@ SELECT date, asset, round(0.5::DOUBLE ** (n / 10.0::DOUBLE) * (v + (1 - 0.5::DOU
 
 @query
 def vol_garch(spark, d):
-    return K.garch_variance(_panel(spark, d))
+    return G.garch_variance(_panel(spark, d))
+
+
+@query
+def vol_garch_forecast(spark, d):
+    """Variances of the twelve weeks after each asset's last one."""
+    return _rounded(G.garch_forecast(G.garch_fit(_panel(spark, d)), 12), "variance", digits=5)
 
 
 @query

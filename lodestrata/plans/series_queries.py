@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import bootstrap as B
+from ..operators import depth as D
 from ..operators import evaluation as E
 from ..operators import state_space as S
 from ..sources import contracts as C
@@ -158,10 +159,10 @@ def contract_lives(spark, d):
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first", "last")})
 
 
-@query(f"WITH {BARS} SELECT asset, year(ts) AS year, count(*) AS n, round(avg(close), 4) AS close FROM i JOIN named n ON i.symbol = n.symbol AND i.instrument_id IS NOT DISTINCT FROM n.instrument_id AND i.life = n.life GROUP BY 1, 2")
+@query(f"WITH {BARS} SELECT asset, year(ts) AS year, count(*) AS n, round(sum(close), 2) AS close FROM i JOIN named n ON i.symbol = n.symbol AND i.instrument_id IS NOT DISTINCT FROM n.instrument_id AND i.life = n.life GROUP BY 1, 2")
 def contract_bars(spark, d):
     b = _contracts(spark, d)
-    return rnd(C.identified(b, C.lives(b)).groupBy("asset", F.year("ts").alias("year")).agg(F.count("*").alias("n"), F.avg("close").alias("close")), "close", digits=4)
+    return rnd(C.identified(b, C.lives(b)).groupBy("asset", F.year("ts").alias("year")).agg(F.count("*").alias("n"), F.sum("close").alias("close")), "close", digits=2)
 
 
 DEFINED = """f AS (
@@ -244,3 +245,37 @@ def inventory_pull(spark, d):
 SELECT * FROM o WHERE action IS NOT NULL""")
 def inventory_sync(spark, d):
     return N.sync_plan(*_inventories(spark, d))
+
+
+# --- order books ------------------------------------------------------------------------------------------------------
+def _hours() -> str:
+    deep = [f"{s}_d{d}" for d in D.BANDS for s in ("bid", "ask")]
+    near = ", ".join(f"list_sum([0.0::DOUBLE] || [x.sz for x in {s}s if {'mid - x.px' if s == 'bid' else 'x.px - mid'} <= mid * ({d} * 1e-4::DOUBLE)]) AS {s}_d{d}" for d in D.BANDS for s in ("bid", "ask"))
+    values = ("mid", "bid", "ask", "spread_bps", *deep)
+    row = "(" + ", ".join(("ts", *values)) + ")"
+    first = ", ".join(f"round(arg_min({c}, {row}), 5) AS open_{c}" for c in values)
+    median = ", ".join(f"round(quantile_cont({c}, 0.5), 5) AS med_{c}" for c in ("spread_bps", *deep))
+    held = ", ".join(f"round(sum({c} * stood) / nullif(sum(stood), 0), 5) AS held_{c}" for c in ("spread_bps", *deep))
+    return f"""WITH e AS (
+  SELECT event_type AS symbol, epoch_ms(epoch_ms(ts)) AS ts, 100.0::DOUBLE + value AS m, user_id % 7 + 1 AS w, event_id % 5 + 1 AS z FROM events
+), l AS (
+  SELECT symbol, ts, [{{'px': m * (1 - k * w * 2e-4::DOUBLE), 'sz': k * z + 0.5::DOUBLE}} for k in range(1, 6)] AS bids, [{{'px': m * (1 + k * w * 3e-4::DOUBLE), 'sz': k * z + 0.25::DOUBLE}} for k in range(1, 6)] AS asks FROM e
+), s AS (SELECT *, 0.5::DOUBLE * (bids[1].px + asks[1].px) AS mid, bids[1].px AS bid, asks[1].px AS ask, 1e4::DOUBLE * (asks[1].px - bids[1].px) / (0.5::DOUBLE * (bids[1].px + asks[1].px)) AS spread_bps FROM l
+), t AS (SELECT symbol, ts, mid, bid, ask, spread_bps, date_trunc('hour', ts) AS hour, {near} FROM s
+), u AS (SELECT *, epoch_us(coalesce(lead(ts) OVER (PARTITION BY symbol, hour ORDER BY ts, {", ".join(values)}), hour + INTERVAL 1 HOUR)) - epoch_us(ts) AS stood FROM t)
+SELECT hour::TIMESTAMP AS ts, symbol, count(*) AS n_snapshots, min(ts)::TIMESTAMP AS first_ts, {first}, round(arg_max(mid, {row}), 5) AS close_mid, {median}, round(avg(spread_bps), 5) AS mean_spread_bps, {held} FROM u GROUP BY 1, 2"""
+
+
+@query(_hours())
+def book_hours(spark, d):
+    """Events as messages of a book, through their JSON, and the hours of each symbol."""
+    e = V.ticks(spark, d)
+    m, w, z = F.lit(100.0) + F.col("value"), F.col("user_id") % 7 + 1, F.col("event_id") % 5 + 1
+    ks = F.sequence(F.lit(1), F.lit(5))
+    level = lambda px, sz: F.struct(px.cast("string").alias("px"), sz.cast("string").alias("sz"), F.lit(1).alias("n"))
+    bids = F.transform(ks, lambda k: level(m * (1 - k * w * 2e-4), k * z + 0.5))
+    asks = F.transform(ks, lambda k: level(m * (1 + k * w * 3e-4), k * z + 0.25))
+    data = F.struct(F.col("event_type").alias("coin"), F.unix_millis(F.col("ts").cast("timestamp")).alias("time"), F.array(bids, asks).alias("levels"))
+    h = D.hours(D.snapshots(e.select(F.to_json(F.struct(F.struct(data.alias("data")).alias("raw"))).alias("value"))))
+    h = h.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("ts", "first_ts")})
+    return rnd(h, *[c for c in h.columns if c not in ("ts", "first_ts", "symbol", "n_snapshots")], digits=5)

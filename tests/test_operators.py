@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.functions import scalars as S
+from lodestrata.operators import garch as G
 from lodestrata.operators import kernels as K
 from lodestrata.sources import datasets as D
 from lodestrata.streaming import events as E
@@ -42,7 +43,7 @@ def test_recursions(panel):
     days = sorted(d for a, d in v if a == "a0")
     r = {x["date"]: x["ret"] for x in panel.where("asset = 'a0'").collect()}
     assert all(math.isclose(v["a0", b], (1 - k) * r[b] ** 2 + k * v["a0", a]) for a, b in zip(days, days[1:], strict=False))
-    assert K.garch_variance(panel).where("variance <= 0").count() == 0
+    assert G.garch_variance(panel).where("variance <= 0").count() == 0
     assert K.local_level(panel, 1.0, 4.0).where("level is null").count() == 0
 
 
