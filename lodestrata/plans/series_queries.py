@@ -257,7 +257,7 @@ def _hours() -> str:
     median = ", ".join(f"round(quantile_cont({c}, 0.5), 5) AS med_{c}" for c in ("spread_bps", *deep))
     held = ", ".join(f"round(sum({c} * stood) / nullif(sum(stood), 0), 5) AS held_{c}" for c in ("spread_bps", *deep))
     return f"""WITH e AS (
-  SELECT event_type AS symbol, epoch_ms(epoch_ms(ts)) AS ts, 100.0::DOUBLE + value AS m, user_id % 7 + 1 AS w, event_id % 5 + 1 AS z FROM events
+  SELECT event_type AS symbol, date_trunc('millisecond', ts) AS ts, 100.0::DOUBLE + value AS m, user_id % 7 + 1 AS w, event_id % 5 + 1 AS z FROM events
 ), l AS (
   SELECT symbol, ts, [{{'px': m * (1 - k * w * 2e-4::DOUBLE), 'sz': k * z + 0.5::DOUBLE}} for k in range(1, 6)] AS bids, [{{'px': m * (1 + k * w * 3e-4::DOUBLE), 'sz': k * z + 0.25::DOUBLE}} for k in range(1, 6)] AS asks FROM e
 ), s AS (SELECT *, 0.5::DOUBLE * (bids[1].px + asks[1].px) AS mid, bids[1].px AS bid, asks[1].px AS ask, 1e4::DOUBLE * (asks[1].px - bids[1].px) / (0.5::DOUBLE * (bids[1].px + asks[1].px)) AS spread_bps FROM l
