@@ -253,9 +253,9 @@ def _hours() -> str:
     near = ", ".join(f"list_sum([0.0::DOUBLE] || [x.sz for x in {s}s if {'mid - x.px' if s == 'bid' else 'x.px - mid'} <= mid * ({d} * 1e-4::DOUBLE)]) AS {s}_d{d}" for d in D.BANDS for s in ("bid", "ask"))
     values = ("mid", "bid", "ask", "spread_bps", *deep)
     row = "(" + ", ".join(("ts", *values)) + ")"
-    first = ", ".join(f"round(arg_min({c}, {row}), 5) AS open_{c}" for c in values)
-    median = ", ".join(f"round(quantile_cont({c}, 0.5), 5) AS med_{c}" for c in ("spread_bps", *deep))
-    held = ", ".join(f"round(sum({c} * stood) / nullif(sum(stood), 0), 5) AS held_{c}" for c in ("spread_bps", *deep))
+    first = ", ".join(f"round(arg_min({c}, {row}), 9) AS open_{c}" for c in values)
+    median = ", ".join(f"round(quantile_cont({c}, 0.5), 9) AS med_{c}" for c in ("spread_bps", *deep))
+    held = ", ".join(f"round(sum({c} * stood) / nullif(sum(stood), 0), 9) AS held_{c}" for c in ("spread_bps", *deep))
     return f"""WITH e AS (
   SELECT event_type AS symbol, date_trunc('millisecond', ts) AS ts, 100.0::DOUBLE + value AS m, user_id % 7 + 1 AS w, event_id % 5 + 1 AS z FROM events
 ), l AS (
@@ -263,7 +263,7 @@ def _hours() -> str:
 ), s AS (SELECT *, 0.5::DOUBLE * (bids[1].px + asks[1].px) AS mid, bids[1].px AS bid, asks[1].px AS ask, 1e4::DOUBLE * (asks[1].px - bids[1].px) / (0.5::DOUBLE * (bids[1].px + asks[1].px)) AS spread_bps FROM l
 ), t AS (SELECT symbol, ts, mid, bid, ask, spread_bps, date_trunc('hour', ts) AS hour, {near} FROM s
 ), u AS (SELECT *, epoch_us(coalesce(lead(ts) OVER (PARTITION BY symbol, hour ORDER BY ts, {", ".join(values)}), hour + INTERVAL 1 HOUR)) - epoch_us(ts) AS stood FROM t)
-SELECT hour::TIMESTAMP AS ts, symbol, count(*) AS n_snapshots, min(ts)::TIMESTAMP AS first_ts, {first}, round(arg_max(mid, {row}), 5) AS close_mid, {median}, round(avg(spread_bps), 5) AS mean_spread_bps, {held} FROM u GROUP BY 1, 2"""
+SELECT hour::TIMESTAMP AS ts, symbol, count(*) AS n_snapshots, min(ts)::TIMESTAMP AS first_ts, {first}, round(arg_max(mid, {row}), 9) AS close_mid, {median}, round(avg(spread_bps), 9) AS mean_spread_bps, {held} FROM u GROUP BY 1, 2"""
 
 
 @query(_hours())
@@ -278,4 +278,4 @@ def book_hours(spark, d):
     data = F.struct(F.col("event_type").alias("coin"), F.unix_millis(F.col("ts").cast("timestamp")).alias("time"), F.array(bids, asks).alias("levels"))
     h = D.hours(D.snapshots(e.select(F.to_json(F.struct(F.struct(data.alias("data")).alias("raw"))).alias("value"))))
     h = h.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("ts", "first_ts")})
-    return rnd(h, *[c for c in h.columns if c not in ("ts", "first_ts", "symbol", "n_snapshots")], digits=5)
+    return rnd(h, *[c for c in h.columns if c not in ("ts", "first_ts", "symbol", "n_snapshots")], digits=9)
