@@ -31,6 +31,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Line dedup: repeated runs of two lines or more go from the texts; a document that loses all its lines goes.
 
+    Chunks that a rolling hash over the lines cuts are matched first and then extended line by line to whole runs.
     The smallest id keeps a run, null ids come last, and rows that share the smallest id all keep it. A null text stays null.
     """
     common.prepare(spark)

@@ -6,8 +6,8 @@ stay in the one with the smallest id, those that a document repeats stay at thei
 bytes: chunks are grouped by hash and text, copies combined before the shuffle.
 
 Whole chunks miss most short passages in other surroundings, but the query's SQL fixes them. ``run_dedup``, which the
-pipeline takes, has no such cut: it compares all pairs of neighbouring lines, so every repeated run of two lines or more
-goes, whatever stands around it.
+pipeline takes, has no such cut: repeated chunks are its anchors, and the pairs of neighbouring lines that they don't cover
+are compared after them, so every repeated run of two lines or more goes, whatever stands around it.
 """
 
 from __future__ import annotations
@@ -74,11 +74,15 @@ def _row_key() -> Column:
     return F.unhex(F.md5(F.concat_ws("|", F.length(text).cast("string"), text, F.coalesce(F.col("doc_id").cast("string"), F.lit("-")))))
 
 
-def chunks(docs: DataFrame, every: int | None = EVERY) -> DataFrame:
+def _order() -> Column:
+    """The id that decides who keeps a text; null ids come last."""
+    return F.coalesce(F.col("doc_id"), F.lit(2**63 - 1))
+
+
+def chunks(docs: DataFrame, every: int = EVERY) -> DataFrame:
     """``_key, doc_id, first, last, again, hash, body``: chunks of two lines or more that aren't blank.
 
-    ``every`` None takes all pairs of neighbouring lines in place of the chunks. ``again`` marks what the document itself
-    has had before, without overlap; such rows carry no body.
+    ``again`` marks what the document itself has had before; such rows carry no body.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,8 +92,8 @@ def chunks(docs: DataFrame, every: int | None = EVERY) -> DataFrame:
                 part = batch.slice(lo, 500)
                 for key, doc, text in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
                     lines = (text or "").split("\n")
-                    ends, seen = boundaries(lines, every) if every else [], {}
-                    for a, b in zip(ends, ends[1:], strict=False) if every else ((i, i + 2) for i in range(len(lines) - 1)):
+                    ends, seen = boundaries(lines, every), {}
+                    for a, b in zip(ends, ends[1:], strict=False):
                         body = "\n".join(lines[a:b])
                         if b - a < 2 or not body.strip("\n"):
                             continue
@@ -105,11 +109,38 @@ def chunks(docs: DataFrame, every: int | None = EVERY) -> DataFrame:
     return source.mapInArrow(cut, f"_key binary, doc_id {kind}, first int, last int, again boolean, hash binary, body string")
 
 
-def removed(docs: DataFrame, every: int | None = EVERY) -> DataFrame:
-    """``_key, gone``: line ranges [first, last) to remove, of the rows that have any; ``every`` as in ``chunks``."""
+def pairs(docs: DataFrame) -> DataFrame:
+    """``_key, doc_id, first, again, hash``: pairs of neighbouring lines, not both empty, by SHA-256.
+
+    ``again`` marks those that the document itself has had before, without overlap.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                rows: list[list] = [[] for _ in range(5)]
+                part = batch.slice(lo, 500)
+                for key, doc, text in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+                    lines, seen = (text or "").split("\n"), {}
+                    for i in range(len(lines) - 1):
+                        if not (lines[i] or lines[i + 1]):
+                            continue
+                        digest = hashlib.sha256(f"{lines[i]}\n{lines[i + 1]}".encode("utf-8", "replace")).digest()
+                        for column, x in zip(rows, (key, doc, i, seen.setdefault(digest, i) + 2 <= i, digest), strict=True):
+                            column.append(x)
+                kinds = (pa.binary(), part.schema.field(1).type, pa.int32(), pa.bool_(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], names=["_key", "doc_id", "first", "again", "hash"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    source = docs.select(_row_key().alias("_key"), "doc_id", "text")
+    return source.mapInArrow(cut, f"_key binary, doc_id {kind}, first int, again boolean, hash binary")
+
+
+def removed(docs: DataFrame, every: int = EVERY) -> DataFrame:
+    """``_key, gone``: line ranges [first, last) of the chunks to remove, of the rows that have any."""
     made = chunks(docs, every)
     new = made.where(~F.col("again"))
-    order = F.coalesce(F.col("doc_id"), F.lit(2**63 - 1))  # null ids come last
+    order = _order()
     classes = durable(
         new.groupBy("hash", "body").agg(F.count("*").alias("n"), F.min(order).alias("keeper")).drop("body")
     )
@@ -128,6 +159,33 @@ def removed(docs: DataFrame, every: int | None = EVERY) -> DataFrame:
     return gone.groupBy("_key").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("gone"))
 
 
+def uncovered(docs: DataFrame, anchors: DataFrame) -> DataFrame:
+    """``_key, _id, first, again, hash``: the pairs of lines that are not wholly inside a chunk that goes.
+
+    Those inside needn't be compared, nor found by others: whoever keeps the chunk has them with a smaller id, or the
+    document itself further up, and there they are left. So each pair's smallest id is among the rows of this table.
+    """
+    inside = anchors.select("_key", F.explode("gone").alias("g")).select("_key", F.explode(F.sequence(F.col("g.first"), F.col("g.last") - 2)).alias("first"))
+    found = pairs(docs).select("_key", _order().alias("_id"), "first", "again", "hash")
+    return found.join(inside.distinct(), ["_key", "first"], "left_anti").select("_key", "_id", "first", "again", "hash")
+
+
+def extended(docs: DataFrame) -> DataFrame:
+    """``_key, gone`` like ``removed``: repeated chunks, and from them line by line all repeated runs of two lines or more.
+
+    Pairs of lines that cross the ends of chunks, or lie in passages too short to hold one, are compared after the chunks.
+    """
+    anchors = durable(removed(docs))
+    left = durable(uncovered(docs, anchors))
+    classes = durable(left.where(~F.col("again")).groupBy("hash").agg(F.count("*").alias("n"), F.min("_id").alias("keeper")))
+    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    judged = join_counted(left, classes.where("n > 1"), "hash", "n", total)
+    gone = judged.where(F.col("again") | (F.col("keeper") < F.col("_id")))
+    ranges = gone.select("_key", F.struct("first", (F.col("first") + 2).alias("last")).alias("g"))
+    ranges = ranges.unionByName(anchors.select("_key", F.explode("gone").alias("g")))
+    return ranges.groupBy("_key").agg(F.array_sort(F.collect_set("g")).alias("gone"))
+
+
 def line_dedup(docs: DataFrame, every: int = EVERY) -> DataFrame:
     """The input's columns with ``text`` reduced to what stays, and ``n_lines``, ``n_chunks``, ``n_removed`` (lines).
 
@@ -142,16 +200,17 @@ def line_dedup(docs: DataFrame, every: int = EVERY) -> DataFrame:
 def run_dedup(docs: DataFrame) -> DataFrame:
     """Like ``line_dedup``, but by runs of lines: the input's columns, ``n_lines`` and ``n_removed``.
 
-    A pair of neighbouring lines, not both empty, goes if a document with a smaller id has it, or the document itself has
-    it before, without overlap; so whatever run of two lines or more is repeated goes whole. The first of all places of a
-    line never goes. A line alone that repeats between other lines stays.
+    Chunks are matched first, then extended (``extended``). In the end a pair of neighbouring lines, not both empty, goes if
+    a document with a smaller id has it, or the document itself has it before, without overlap; so whatever run of two lines
+    or more is repeated goes whole. The first of all places of a line never goes. A line alone that repeats between other
+    lines stays, and so do the inner ones of three empty lines or more.
     """
     return _reduced(docs, None).drop("n_chunks")
 
 
 def _reduced(docs: DataFrame, every: int | None) -> DataFrame:
     keep = [c for c in docs.columns if c not in ("n_lines", "n_chunks", "n_removed")]
-    joined = docs.select(*keep, _row_key().alias("_key")).join(removed(docs, every), "_key", "left").select(*keep, "gone")
+    joined = docs.select(*keep, _row_key().alias("_key")).join(removed(docs, every) if every else extended(docs), "_key", "left").select(*keep, "gone")
     schema = docs.select(*keep).schema.add("n_lines", "long").add("n_chunks", "long").add("n_removed", "long")
     at = keep.index("text")
 
@@ -161,6 +220,8 @@ def _reduced(docs: DataFrame, every: int | None) -> DataFrame:
             for text, gone in zip(batch.column(at).to_pylist(), batch.column(len(keep)).to_pylist(), strict=True):
                 lines = (text or "").split("\n")
                 dead = {i for g in gone or () for i in range(g["first"], g["last"])}
+                if dead and not every:  # of a chunk that goes, too, a line that is in pairs of empty ones only stays
+                    dead = {i + k for g in gone for i in range(g["first"], g["last"] - 1) if lines[i] or lines[i + 1] for k in (0, 1)}
                 texts.append(text if not dead else "\n".join(x for i, x in enumerate(lines) if i not in dead))
                 for column, x in zip(counts, (len(lines), len(boundaries(lines, every)) - 1 if every else 0, len(dead)), strict=True):
                     column.append(x)

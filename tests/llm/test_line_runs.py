@@ -46,6 +46,23 @@ def test_runs_against_brute_force(spark):
     assert line_dedup.run_dedup(docs.limit(0)).count() == 0
 
 
+def test_chunks_are_the_anchors_of_runs(spark, monkeypatch):
+    passage = [f"shared line {i}" for i in range(30)]
+    spaced = ["begin", "", "", "", "", "end"] * 4
+    texts = {d: "\n".join([f"{d} one", *passage[d % 3 :], f"{d} two", *spaced, f"{d} three"]) for d in range(20)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    anchors = line_dedup.removed(docs)
+    inside = {(bytes(r["_key"]), i) for r in anchors.collect() for g in r["gone"] for i in range(g["first"], g["last"] - 1)}
+    every = {(bytes(r["_key"]), r["first"]) for r in line_dedup.pairs(docs).collect()}
+    left = {(bytes(r["_key"]), r["first"]) for r in line_dedup.uncovered(docs, anchors).collect()}
+    assert len(inside) > 100 and left == every - inside
+    cut, chunks = [], line_dedup.chunks
+    monkeypatch.setattr(line_dedup, "chunks", lambda docs, every=line_dedup.EVERY: cut.append(every) or chunks(docs, every))
+    got = {r["doc_id"]: r["text"] for r in line_dedup.run_dedup(docs).collect()}
+    assert cut == [line_dedup.EVERY]
+    assert got == brute(texts)
+
+
 def test_pipeline_drops_short_passages(spark):
     passage = [f"licence line {i}" for i in range(3)]
     rows = [(d, "\n".join([f"{d} one", f"{d} two", *passage, f"{d} three"]), "en", "web", 60) for d in range(30)]
