@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lodestrata.operators import quality, scan
+from lodestrata.operators import grid, quality, scan
 
 
 @pytest.fixture(scope="module")
@@ -104,3 +104,20 @@ def test_without_keys(series):
     want = rows.toPandas().sort_values(["t", "k"])
     assert (got["k"].to_numpy() == want["k"].to_numpy()).all()
     np.testing.assert_allclose(got["s"], want["x"].cumsum(), atol=1e-9)
+
+
+def test_range_counts_without_the_pairs(spark):
+    rng = np.random.default_rng(8)
+    at = [None, *[int(x) for x in rng.integers(0, 300, 400)]]
+    ranges = [(i, int(a), int(a + w)) for i, (a, w) in enumerate(zip(rng.integers(-20, 320, 200), rng.integers(-3, 60, 200), strict=True))]
+    ranges += [(1000, None, 5), (1001, 5, None), (1, 0, 300), (1, 0, 300)]
+    events = spark.createDataFrame([(x,) for x in at], "s long")
+    asked = spark.createDataFrame(ranges, "id int, lo long, hi long")
+    want = sorted((i, sum(a <= x < b for x in at[1:]) if a is not None and b is not None else 0) for i, a, b in ranges)
+    assert sorted((r["id"], r["n"]) for r in grid.range_counts(events, asked, "s", "lo", "hi").collect()) == want
+    joined = grid.range_join(events, asked.where("hi > lo"), "s", "lo", "hi", 25).count()
+    assert joined == sum(n for _, n in want)
+    assert {r["n"] for r in grid.range_counts(events.limit(0), asked, "s", "lo", "hi").collect()} == {0}
+    # 40,000 ranges over 40,000 equal events are 1.6 billion pairs
+    many = spark.range(40_000).selectExpr("id", "0 AS lo", "2 AS hi")
+    assert grid.range_counts(spark.range(40_000).selectExpr("1 AS s"), many, "s", "lo", "hi").agg(F.sum("n")).first()[0] == 1_600_000_000
