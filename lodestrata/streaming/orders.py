@@ -1,7 +1,7 @@
 """The state of orders as a stream: fills that arrive repeatedly, late or not at all, with expiry and restart.
 
-An order's fills are a map state by fill id, so a delivery costs one lookup however many came before. What an order is
-follows from the set of its fills and from its latest terminal and other reports by their own times, not from the order of
+An order's fills are a list state. A micro-batch reads it once for each order that it has something of and appends the new
+fills at once, so calls to the state store are a few for an order, not for a delivery. What an order is follows from the set of its fills and from its latest terminal and other reports by their own times, not from the order of
 arrival. A timer of event time ends an order that nothing was heard of for ``keep``; its state goes, and as that is longer
 than the watermark's delay, no delivery of it can come again. The state is in RocksDB and in the checkpoint: a stream that is
 started again goes on where it was.
@@ -11,8 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -21,6 +20,7 @@ from ..sources.shared import durable
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 TERMINAL = ("filled", "canceled", "rejected")
 OUT = "cloid string, status string, filled double, notional double, fees double, n_fills long, ended boolean"
+_STATE = Row(*[c.split()[0] for c in OUT.split(", ")])
 #: Latest reports: (time, status) of terminal and of other ones, the venue's total, and the order's size.
 _HEAD = "done_at double, done string, open_at double, open string, total double, size double, last double"
 
@@ -51,45 +51,57 @@ class _Orders(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.fills = handle.getMapState("fills", "id string", "size double, price double, fee double")
+        self.fills = handle.getListState("fills", "id string, size double, price double, fee double")
         self.head = handle.getValueState("head", _HEAD)
 
-    def _row(self, key, head: tuple, ended: bool) -> pd.DataFrame:
-        fills = sorted(tuple(x) for x in self.fills.values())  # one sum whatever the order of arrival
+    def _due(self, last: float) -> int:
+        return int((last + self.keep) * 1000)
+
+    def _row(self, key, fills: list[tuple], head: tuple, ended: bool) -> Row:
+        fills = sorted(f[1:] for f in fills)  # one sum whatever the order of arrival
         status, filled, notional, fees = outcome(fills, head)
         if ended and status not in TERMINAL:
             status = "expired"
-        return pd.DataFrame([(key[0], status, filled, notional, fees, len(fills), ended)], columns=[c.split()[0] for c in OUT.split(", ")])
+        return _STATE(key[0], status, filled, notional, fees, len(fills), ended)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        done_at, done, open_at, opened, total, size, last = self.head.get() if self.head.exists() else (None,) * 7
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        known = self.head.get()
+        done_at, done, open_at, opened, total, size, last = known or (None,) * 7
+        fills = [tuple(f) for f in self.fills.get()] if known else []
+        seen, new = {f[0] for f in fills}, []
         none = lambda v: None if v is None or v != v else v
-        for pdf in rows:
-            for e in pdf.to_dict("records"):
-                at = e["at"]
-                last = at if last is None else max(last, at)
-                size = none(e["order_size"]) if size is None else size
-                if e["kind"] == "fill":
-                    if e["fill_id"] is not None and not self.fills.containsKey((e["fill_id"],)):
-                        self.fills.updateValue((e["fill_id"],), (e["size"], e["price"], none(e["fee"]) or 0.0))
-                    continue
-                if none(e["filled"]) is not None:
-                    total = max(total or 0.0, e["filled"])
-                # of reports of one time the larger name counts, so that arrival doesn't
-                if e["status"] in TERMINAL and (done_at is None or (at, e["status"]) >= (done_at, done)):
-                    done_at, done = at, e["status"]
-                elif e["status"] is not None and e["status"] not in TERMINAL and (open_at is None or (at, e["status"]) >= (open_at, opened)):
-                    open_at, opened = at, e["status"]
+        number = lambda v: float("nan") if v is None else v
+        for _, kind, fill_id, status, amount, price, fee, filled, order_size, at, _ in rows:
+            last = at if last is None else max(last, at)
+            size = none(order_size) if size is None else size
+            if kind == "fill":
+                if fill_id is not None and fill_id not in seen:
+                    seen.add(fill_id)
+                    new.append((fill_id, number(amount), number(price), none(fee) or 0.0))
+                continue
+            if none(filled) is not None:
+                total = max(total or 0.0, filled)
+            # of reports of one time the larger name counts, so that arrival doesn't
+            if status in TERMINAL and (done_at is None or (at, status) >= (done_at, done)):
+                done_at, done = at, status
+            elif status is not None and status not in TERMINAL and (open_at is None or (at, status) >= (open_at, opened)):
+                open_at, opened = at, status
+        if new:
+            self.fills.appendList(new)
         head = (done_at, done, open_at, opened, total, size, last)
-        self.head.update(head)
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        self.handle.registerTimer(int((last + self.keep) * 1000))
-        yield self._row(key, head, False)
+        if head != known:
+            self.head.update(head)
+        if not known:  # the one timer of an order; when it fires too early, it is set anew
+            self.handle.registerTimer(self._due(last))
+        yield self._row(key, fills + new, head, False)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         head = tuple(self.head.get())
-        yield self._row(key, head, True)
+        due = self._due(head[6])
+        if due > expiredTimerInfo.getExpiryTimeInMs() and due >= timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(due)
+            return
+        yield self._row(key, [tuple(f) for f in self.fills.get()], head, True)
         self.fills.clear()
         self.head.clear()
 
@@ -103,7 +115,7 @@ def order_states(events: DataFrame, late: str = "1 hour", keep: float = 86_400.0
     """
     rows = events.withWatermark("ts", late).withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
     rows = rows.select("cloid", "kind", "fill_id", "status", "size", "price", "fee", "filled", "order_size", "at", "ts")
-    return rows.groupBy("cloid").transformWithStateInPandas(_Orders(keep), OUT, "append", "eventTime")
+    return rows.groupBy("cloid").transformWithState(_Orders(keep), OUT, "append", "eventTime")
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:

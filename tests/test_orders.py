@@ -125,3 +125,67 @@ def test_books(spark):
     orders = spark.createDataFrame([("1", 2.0, 0.0, "open"), ("2", 2.0, 1.0, "open"), ("3", 2.0, 2.0, "partial"), ("4", 2.0, 1.0, "canceled"), ("5", 2.0, 1.0, "new")], "cloid string, size double, filled double, status string")
     resting = spark.createDataFrame([("1",), ("5",), ("9",), ("9",)], "cloid string")
     assert {r["cloid"]: r["status"] for r in O.reconcile_orders(orders, resting).collect()} == {"1": "open", "2": "canceled", "3": "filled", "4": "canceled", "5": "partial", "9": "unknown"}
+
+
+class Store:
+    """A state store of one order that counts the calls made to it."""
+
+    def __init__(self):
+        self.calls, self.items, self.value, self.timers = 0, [], None, []
+
+    def getListState(self, name, schema):  # noqa: N802
+        return self
+
+    getValueState = lambda self, name, schema: Head(self)  # noqa: E731, N815
+
+    def appendList(self, new):  # noqa: N802
+        self.calls += 1
+        self.items += new
+
+    def get(self):
+        self.calls += 1
+        return iter(self.items)
+
+    def clear(self):
+        self.items = []
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.append(at)
+
+
+class Head:
+    def __init__(self, store):
+        self.store = store
+
+    def get(self):
+        self.store.calls += 1
+        return self.store.value
+
+    def update(self, value):
+        self.store.calls += 1
+        self.store.value = value
+
+    def clear(self):
+        self.store.value = None
+
+
+class Clock:
+    def __init__(self, now):
+        self.getExpiryTimeInMs = self.getCurrentWatermarkInMs = lambda: now
+
+
+def test_calls_to_the_store_do_not_grow_with_fills():
+    store = Store()
+    orders = S._Orders(10.0)
+    orders.init(store)
+    for batch in range(3):
+        fills = [("c", "fill", str(i), None, 1.0, 2.0, 0.0, None, None, float(batch), None) for i in range(1000 * (batch + 1))]
+        before = store.calls
+        (row,) = orders.handleInputRows(("c",), iter(fills * 2), None)
+        assert store.calls - before <= 5
+        assert (row.filled, row.notional, row.n_fills, row.ended) == (1000.0 * (batch + 1), 2000.0 * (batch + 1), 1000 * (batch + 1), False)
+    assert store.timers == [10_000]
+    assert list(orders.handleExpiredTimer(("c",), Clock(10_000), Clock(10_000))) == [] and store.timers == [10_000, 12_000]
+    (row,) = orders.handleExpiredTimer(("c",), Clock(12_000), Clock(12_000))
+    assert (row.status, row.ended, store.items, store.value) == ("expired", True, [], None)
