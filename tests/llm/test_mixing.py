@@ -2,13 +2,14 @@
 
 import hashlib
 import itertools
+import os
 import random
 import re
 from collections import defaultdict
 
 import pytest
 
-from lodestrata.llm import mixing
+from lodestrata.llm import common, mixing
 
 
 def targets(sizes, weights=(3, 1, 2), share=1.5, most=2):
@@ -110,3 +111,17 @@ def test_null_ids_are_placed_as_one_hash(spark):
         before += n
     target = got[0]["target"]
     assert sorted((r["doc_id"] or "-", r["size"], r["taken"]) for r in got) == sorted((d, n, n * sum(b + n / 2 + p * before < target for p in (0, 1))) for d, n, b in want)
+
+
+def test_curriculum_writes_no_texts_on_its_way(spark):
+    rows = [(*r, "x") for r in corpus(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    folder = common.shared_dir(spark)
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    out = mixing.curriculum(docs, partitions=4)
+    got = out.collect()
+    assert set(os.listdir(folder) if os.path.isdir(folder) else ()) == before
+    assert sorted(r["position"] for r in got) == [r["position"] for r in got]
+    mixed = {r["doc_id"]: r for r in mixing.mix(docs).collect()}
+    assert all(mixed[r["doc_id"]][f"position_{r['copy'] + 1}"] == r["position"] for r in got)
+    assert len(got) == sum((r["position_1"] is not None) + (r["position_2"] is not None) for r in mixed.values())
