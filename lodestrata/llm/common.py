@@ -79,6 +79,19 @@ def join_counted(left: DataFrame, groups: DataFrame, key: str, count: str, total
     return out.select(*left.columns, *[got[c].alias(c) for c in payload])
 
 
+def join_repeated(left: DataFrame, groups: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """Inner join of per-key ``groups`` (as for ``join_counted``) to ``left``, which is read twice, without skew.
+
+    Each row meets one group at most. Rows of hot keys meet theirs where they are and don't enter the shuffle of the others.
+    """
+    payload = [c for c in groups.columns if c != key]
+    least = max(1.0, total * HOT_SHARE)
+    hot, cold = groups.where(F.col(count) > least), groups.where(F.col(count) <= least)
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti")
+    met = [rows.join(found, key).select(*left.columns, *payload) for rows, found in ((left, F.broadcast(hot)), (rest, cold))]
+    return met[0].unionByName(met[1])
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, join_counted, table
+from .common import durable, join_counted, join_repeated, table
 
 NAME = "op8_line_dedup"
 
@@ -179,8 +179,9 @@ def extended(docs: DataFrame) -> DataFrame:
     left = durable(uncovered(docs, anchors))
     classes = durable(left.where(~F.col("again")).groupBy("hash").agg(F.count("*").alias("n"), F.min("_id").alias("keeper")))
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    judged = join_counted(left, classes.where("n > 1"), "hash", "n", total)
-    gone = judged.where(F.col("again") | (F.col("keeper") < F.col("_id")))
+    first = left.where(~F.col("again")).drop("again")
+    later = join_repeated(first, classes.where("n > 1"), "hash", "n", total).where(F.col("keeper") < F.col("_id"))
+    gone = left.where("again").select("_key", "first").unionByName(later.select("_key", "first"))
     ranges = gone.select("_key", F.struct("first", (F.col("first") + 2).alias("last")).alias("g"))
     ranges = ranges.unionByName(anchors.select("_key", F.explode("gone").alias("g")))
     return ranges.groupBy("_key").agg(F.array_sort(F.collect_set("g")).alias("gone"))

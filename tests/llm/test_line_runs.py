@@ -71,3 +71,19 @@ def test_pipeline_drops_short_passages(spark):
     assert got[0]["text"] == rows[0][1]
     for d in range(1, 30):
         assert got[d]["text"] == f"{d} one\n{d} two\n{d} three" and got[d]["n_chars"] == len(got[d]["text"])
+
+
+def test_unrepeated_pairs_leave_at_the_join(spark, monkeypatch):
+    passage = ["licence", "no warranty", "all rights"]
+    texts = {d: "\n".join([*(f"{d} own {i}" for i in range(40)), *passage, f"{d} end", *([f"rare {d % 100}", "twin"] if d < 200 else [])]) for d in range(400)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    met, join = [], line_dedup.join_repeated
+    monkeypatch.setattr(line_dedup, "join_repeated", lambda *given: met.append((given, join(*given))) or met[-1][1])
+    got = {r["doc_id"]: r["text"] for r in line_dedup.run_dedup(docs).collect()}
+    assert got == brute(texts)
+    (left, classes, _, _, total), rows = met[0]
+    shared = {r["hash"]: r["n"] for r in classes.collect()}
+    assert max(shared.values()) > total / 2000 >= min(shared.values())  # both ways are taken
+    want = sorted((r["_key"], r["first"]) for r in left.collect() if r["hash"] in shared)
+    assert sorted((r["_key"], r["first"]) for r in rows.collect()) == want
+    assert len(want) == sum(shared.values()) < left.count() / 10
